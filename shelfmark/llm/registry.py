@@ -6,16 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format
+from . import chat_format, quality_rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat_formatting": chat_format.op1_chat_formatting,
+        "op10_quality_rules": quality_rules.op10_quality_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_chat_formatting": chat_format.OP1_SQL,
+        "op10_quality_rules": quality_rules.OP10_SQL,
     }
