@@ -31,7 +31,7 @@ RULES = (
     Rule(0, "few_words", "n_words < 20"),
     Rule(1, "repeated_passages", "100 * n_repeat_words > 30 * n_words"),
     Rule(2, "symbols", "10 * n_symbols > 3 * n_words"),
-    Rule(3, "repeated_lines", "100 * n_dup_lines > 30 * n_lines"),
+    Rule(3, "repeated_lines", "n_dup_lines >= 4 AND 100 * n_dup_lines > 30 * n_lines"),
     Rule(4, "short_words", "n_words > 0 AND word_chars < 2 * n_words"),
     Rule(5, "long_words", "word_chars > 20 * n_words"),
 )
@@ -152,7 +152,7 @@ WITH d AS (
   FROM split s LEFT JOIN repeated r ON s.k = r.k
 ), b AS (
   SELECT *, CAST(n_words < 20 AS BIGINT) + 2 * CAST(100 * n_repeat_words > 30 * n_words AS BIGINT)
-    + 4 * CAST(10 * n_symbols > 3 * n_words AS BIGINT) + 8 * CAST(100 * n_dup_lines > 30 * n_lines AS BIGINT)
+    + 4 * CAST(10 * n_symbols > 3 * n_words AS BIGINT) + 8 * CAST(n_dup_lines >= 4 AND 100 * n_dup_lines > 30 * n_lines AS BIGINT)
     + 16 * CAST(n_words > 0 AND word_chars < 2 * n_words AS BIGINT) + 32 * CAST(word_chars > 20 * n_words AS BIGINT) AS rule_bits FROM m
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (rule_bits & 3) <> 0 AS base_failed, rule_bits = 0 AS kept, rule_bits FROM b
