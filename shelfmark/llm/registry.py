@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, exact_dedup, quality_rules
+from . import chat_format, exact_dedup, html_extract, language_id, quality_rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat_formatting": chat_format.op1_chat_formatting,
+        "op2_html_extraction": html_extract.op2_html_extraction,
+        "op3_language_id": language_id.op3_language_id,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
         "op10_quality_rules": quality_rules.op10_quality_rules,
     }
