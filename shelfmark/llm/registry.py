@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, exact_dedup, html_extract, language_id, packing, quality_rules, sharding
+from . import chat_format, exact_dedup, html_extract, language_id, packing, quality_rules, sharding, substring_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_chat_formatting": chat_format.op1_chat_formatting,
         "op2_html_extraction": html_extract.op2_html_extraction,
         "op3_language_id": language_id.op3_language_id,
+        "op4_substring_dedup": substring_dedup.op4_substring_dedup,
         "op5_best_fit_packing": packing.op5_best_fit_packing,
         "op6_sharding": sharding.op6_sharding,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
