@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, exact_dedup, html_extract, language_id, near_dedup, packing, quality_rules, sharding, substring_dedup
+from . import chat_format, exact_dedup, html_extract, language_id, near_dedup, packing, piece_sampling, quality_rules, sharding, substring_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_substring_dedup": substring_dedup.op4_substring_dedup,
         "op5_best_fit_packing": packing.op5_best_fit_packing,
         "op6_sharding": sharding.op6_sharding,
+        "op7_piece_sampling": piece_sampling.op7_piece_sampling,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
         "op9_minhash_near_dedup": near_dedup.op9_minhash_near_dedup,
         "op10_quality_rules": quality_rules.op10_quality_rules,
