@@ -201,19 +201,19 @@ def owners(docs: DataFrame, limit: int = TRIE_BYTES) -> DataFrame:
 
 
 def exact_dedup(docs: DataFrame, limit: int = TRIE_BYTES) -> DataFrame:
-    """``docs`` (doc_id, text) with keep_id, group_size, kept and text_sha256; one row per input row.
+    """doc_id, keep_id, group_size, kept, text_sha256 and text_key (a hash of the text as it is); one row per row of ``docs`` (doc_id, text).
 
     Null text: empty, so it equals texts of nothing (not of white space: that is one space). Null doc_id: never the smallest;
     a group of only such rows has a null keep_id and keeps them. Repeated rows with one doc_id are all marked alike.
     Other columns are ignored. Empty table: no rows.
     """
-    rows = docs.select("doc_id", F.sha2(F.encode(normalised(F.col("text")), "UTF-8"), 256).alias("text_sha256"))
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.sha2(F.encode(normalised(F.col("text")), "UTF-8"), 256).alias("text_sha256"))
     named = owners(docs, limit).select(F.lower(F.hex("digest")).alias("text_sha256"), F.col("owner").alias("keep_id"), F.col("n").alias("group_size"))
-    return rows.join(named, "text_sha256").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    return rows.join(named, "text_sha256").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", "text_key")
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup(documents(spark, sf_dir))
+    return exact_dedup(documents(spark, sf_dir)).drop("text_key")
 
 
 OP8_SQL = r"""

@@ -139,8 +139,8 @@ def _signatures(width: int) -> Callable:
             sets = shingle_sets(batch.column(1).to_pylist(), width)
             registers = sketches(sets)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_node(s) for s in sets], pa.int64()), pa.array([r.tobytes() for r in registers], pa.binary())],
-                ["doc_id", "n", "node", "registers"],
+                [batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([_node(s) for s in sets], pa.int64()), pa.array([r.tobytes() for r in registers], pa.binary())],
+                ["doc_id", "text_key", "n", "node", "registers"],
             )
 
     return run
@@ -298,7 +298,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def cluster(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id (smallest doc_id of all rows reachable by links) and kept.
+    """One row per input row: doc_id, n_shingles, component_id (smallest doc_id of all rows reachable by links), kept and text_key (a hash of the text).
 
     Rows are linked if 100 * common shingles >= percent * all shingles of both. Texts without words (null, empty, white space) are linked
     with nothing: component_id is their own id. Null doc_id: takes part, never the smallest; a component of such rows alone has a null
@@ -307,7 +307,7 @@ def cluster(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """
     spark = docs.sparkSession
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = written(plain.mapInArrow(_signatures(width), "doc_id long, n long, node long, registers binary"), "signatures")
+    signed = written(plain.withColumn("text_key", F.xxhash64("text")).mapInArrow(_signatures(width), "doc_id long, text_key long, n long, node long, registers binary"), "signatures")
     classes = written(signed.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first"), F.max("n").alias("n"), F.any_value("registers").alias("registers")), "classes")
     keyed = classes.select("node", "registers").mapInArrow(_keys, "key long, node long, band int")
     shared = keyed.groupBy("key").agg(F.min("node").alias("centre"), F.count("*").alias("members")).where("members > 1")
@@ -371,10 +371,10 @@ def cluster(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     linked = labels.join(classes.select("node", "first"), "node")
     smallest = linked.groupBy("label").agg(F.min("first").alias("component"))
     found = classes.select("node", "first").join(linked.join(smallest, "label").select("node", "component"), "node", "left").select("node", F.coalesce("component", "first").alias("component"))
-    out = signed.select("doc_id", "n", "node").join(found, "node", "left")
+    out = signed.select("doc_id", "text_key", "n", "node").join(found, "node", "left")
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"), "text_key")
 
 
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cluster(documents(spark, sf_dir), width=4, percent=80)
+    return cluster(documents(spark, sf_dir), width=4, percent=80).drop("text_key")
