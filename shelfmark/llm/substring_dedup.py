@@ -21,7 +21,7 @@ from .common import documents, slices, text_buffer
 #: The rolling hash sees WINDOW bytes (a power of two). A white-space byte ends a chunk if the hash's top bits are zero, one in RARE (a
 #: power of two), and no other such byte came in the LEAST bytes before. Longer stretches
 #: than MOST bytes are cut there, or at the white space before.
-WINDOW, RARE, LEAST, MOST = 16, 4, 20, 160
+WINDOW, RARE, LEAST, MOST = 8, 2, 12, 160
 #: Runs of repeated chunks with fewer words stay.
 RUN_WORDS = 20
 
@@ -40,10 +40,10 @@ def cuts(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     hit = space & ((rolling * np.uint32(0x9E3779B1)) >> np.uint32(32 - RARE.bit_length() + 1) == 0)
     at = np.flatnonzero(hit) + 1
     text = np.searchsorted(offsets, at - 1, "right") - 1  # the text a cut is in
-    begins = offsets[text]
-    before = np.concatenate([[-1], at[:-1]])
-    before = np.maximum(before, begins)
-    at = at[(at - before >= LEAST) & (at - begins >= WINDOW) & (at < offsets[text + 1])]
+    inside = (at - offsets[text] >= WINDOW) & (at < offsets[text + 1])  # the window lies in one text
+    at, begins = at[inside], offsets[text[inside]]
+    before = np.maximum(np.concatenate([[-1], at[:-1]]), begins) if len(at) else at
+    at = at[at - before >= LEAST]
     ends = np.unique(np.concatenate([at, offsets[1:][np.diff(offsets) > 0]]))
     starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
     long = ends - starts > MOST
