@@ -182,6 +182,23 @@ def good_enough(df: DataFrame, key: str, text: str, place: str, enough: int = 40
     )
 
 
+def phased_pick(df: DataFrame, key: str, phase: str, place: str, text: str, enough: int = 40, poor: int = 20) -> DataFrame:
+    """The text that a search through phases ends with, as one fold over a key's few candidates in order.
+
+    A phase is entered only while the best text so far is shorter than ``poor``; the first text of at least ``enough`` ends the search;
+    otherwise the longest wins, the first of equals.
+    """
+    listed = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(place).alias("at"), F.col(phase).alias("phase"), F.col(text).alias("text")))).alias("tried"))
+    start = F.struct(F.lit("").alias("best"), F.lit(None).cast(df.schema[phase].dataType).alias("phase"), F.lit(False).alias("over"))
+
+    def step(state: Column, x: Column) -> Column:
+        entered = ~state["over"] & (state["phase"].isNull() | (state["phase"] == x["phase"]) | (F.length(state["best"]) < poor))
+        best = F.when(entered & (F.length(x["text"]) > F.length(state["best"])), x["text"]).otherwise(state["best"])
+        return F.struct(best.alias("best"), x["phase"].alias("phase"), (~entered | (F.length(best) >= enough)).alias("over"))
+
+    return listed.select(key, F.aggregate("tried", start, step, lambda state: state["best"]).alias(text))
+
+
 # --- lists, sets, geometry ----------------------------------------------------------------------------------------------
 
 

@@ -69,6 +69,24 @@ def records(df: DataFrame, key: str = "doc_id", text: str = "text", reply: str =
     return normalised(found).select(key, *FIELDS, "source")
 
 
+PROMPT = """Fill in the record of the book whose pages are read below. Answer with one JSON object.
+Fields: title, author, publisher, year, isbn, udk, bbk, annotation. Use "unknown" for what the text does not say.
+Found by patterns: author %s; ISBN %s; UDK %s; BBK %s.
+Text:
+%s"""
+COVER_PROMPT = """Give the title and the author that stand on this cover as one JSON object with the fields title and author.
+Use "unknown" for what the text does not say.
+Text:
+%s"""
+
+
+def prompts(found: DataFrame, text: str = "text") -> DataFrame:
+    """``found`` (with its hints) and the columns prompt, with the hints that do not depend on the title, and cover_prompt."""
+    body = F.coalesce(F.col(text), F.lit(""))
+    hint = F.format_string(PROMPT, "hint_author", "hint_isbn", "hint_udk", "hint_bbk", body)
+    return found.withColumns({"prompt": hint, "cover_prompt": F.format_string(COVER_PROMPT, body)})
+
+
 def merged(info: DataFrame, cover: DataFrame, key: str = "doc_id") -> DataFrame:
     """Info records completed by the cover's title and author; the other fields are the info record's alone. authors holds a known author."""
     cover = cover.select(key, F.col("title").alias("_title"), F.col("author").alias("_author"))

@@ -305,9 +305,34 @@ def _(spark, d):
     return s.table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"), F.coalesce(F.get_json_object("props", "$.missing"), F.lit(t.UNKNOWN)).alias("missing"))
 
 
-@query("prompt_text", "SELECT doc_id, 'Author: ' || lang || chr(10) || 'ISBN: unknown' || chr(10) || text AS prompt FROM documents")
+@query("prompt_text", f"WITH {_RECORDS}, p AS (SELECT doc_id, text, {_SQL_AUTHOR} AS a, {_sql_isbn(_SQL_ISBN)} AS i, {_SQL_UDK} AS u, {_SQL_BBK} AS b FROM entries) SELECT doc_id, printf('{r.PROMPT}', a, i, u, b, text) AS prompt, printf('{r.COVER_PROMPT}', text) AS cover_prompt FROM p", "cards")
 def _(spark, d):
-    return s.table(spark, d, "documents").select("doc_id", F.concat(F.lit("Author: "), "lang", F.lit("\nISBN: "), F.lit(t.UNKNOWN), F.lit("\n"), "text").alias("prompt"))
+    return r.prompts(r.hints(s.cards(spark, d))).select("doc_id", "prompt", "cover_prompt")
+
+
+@query(
+    "phased_candidate_pick",
+    """WITH c AS (SELECT conv_id, turn, text, length(text) AS n, turn // 2 AS phase FROM conversations),
+    m AS (SELECT *, max(n) OVER (PARTITION BY conv_id ORDER BY phase RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM c)
+    SELECT conv_id, CASE WHEN max(n) >= 900 THEN first(text ORDER BY n < 900, turn) ELSE first(text ORDER BY n DESC, turn) END AS text FROM m WHERE coalesce(before, 0) < 500 GROUP BY 1""",
+)
+def _(spark, d):
+    turns = s.table(spark, d, "conversations").withColumn("phase", F.expr("turn div 2"))
+    return c.phased_pick(turns, "conv_id", "phase", "turn", "text", 900, 500)
+
+
+@query("key_value_setting", "SELECT n_nationkey, coalesce(nullif(n_name, 'FRANCE'), 'rus') AS value FROM nation")
+def _(spark, d):
+    """A settings table read by key with a default."""
+    return s.table(spark, d, "nation").select("n_nationkey", F.coalesce(F.nullif("n_name", F.lit("FRANCE")), F.lit("rus")).alias("value"))
+
+
+@query("status_map", "SELECT user_id, string_agg(event_type || '=' || n, ',' ORDER BY event_type) AS progress FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2) GROUP BY 1")
+def _(spark, d):
+    """A map per key, built by upserts: the last value of each state wins (here its count)."""
+    counts = s.table(spark, d, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+    maps = counts.groupBy("user_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("event_type", "n")))).alias("m"))
+    return maps.select("user_id", F.array_join(F.transform(F.map_entries("m"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",").alias("progress"))
 
 
 # --- mutations ----------------------------------------------------------------------------------------------------------
