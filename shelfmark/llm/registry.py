@@ -28,5 +28,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_chat_formatting": chat_format.OP1_SQL,
         "op8_exact_dedup": exact_dedup.OP8_SQL,
+        "op9_minhash_near_dedup": near_dedup.OP9_SQL,
         "op10_quality_rules": quality_rules.OP10_SQL,
     }
