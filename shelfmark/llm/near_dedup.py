@@ -28,8 +28,9 @@ REGISTERS = BANDS * ROWS
 BASE, RATE, LAST = 1.001, 20.0, 65535
 #: The likelihood test passes pairs whose estimate is at most so many standard deviations under the threshold.
 MARGIN = 5.0
-#: Classes in a block of a bucket, and members that a centre meets in one tile.
-BLOCK, STAR = 512, 128
+#: Classes in a block of a bucket, and members that a centre meets in one tile; both are fewer where sets are large, so that a block or a
+#: tile's members hold about ELEMENTS shingles at most (or one set).
+BLOCK, STAR, ELEMENTS = 512, 128, 1 << 20
 
 _M64 = np.uint64
 _words: dict[bytes, int] = {}
@@ -324,9 +325,10 @@ def cluster(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
         .mapInArrow(_star_test(percent), "centre long, node long")
     )
     stars = written(tested, "stars")
-    # A centre meets at most about STAR members in a tile.
-    counts = stars.groupBy("centre").agg(F.count("*").alias("members"))
-    dealt = stars.join(counts, "centre").select("centre", "node", F.xxhash64("centre", F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / STAR))).alias("tile"))
+    # A centre meets at most about STAR members in a tile; their sets are about as large as its own.
+    counts = stars.groupBy("centre").agg(F.count("*").alias("members")).join(classes.select(F.col("node").alias("centre"), "n"), "centre")
+    parts = F.ceil(F.greatest(F.col("members") / STAR, F.col("members") * F.col("n") / ELEMENTS))
+    dealt = stars.join(counts, "centre").select("centre", "node", F.xxhash64("centre", F.pmod(F.xxhash64("node"), parts)).alias("tile"))
     star_tiles = dealt.select("tile", "node").unionAll(dealt.select("tile", F.col("centre").alias("node")).distinct())
 
     # Full sets of the classes that may be compared: in stars, or beside a centre in a bucket of three or more.
@@ -349,8 +351,9 @@ def cluster(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
 
     # The rest: buckets that still hold several components, every pair across components.
     rest = buckets.where("members > 2").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = rest.where("node <> centre").groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("others")).where("low < high").select("key", "others")
-    blocks = F.ceil(F.col("others") / BLOCK).cast("int")
+    sized = rest.where("node <> centre").join(classes.select("node", "n"), "node")
+    mixed = sized.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("others"), F.sum("n").alias("elements")).where("low < high").select("key", "others", "elements")
+    blocks = F.ceil(F.greatest(F.col("others") / BLOCK, F.col("elements") / ELEMENTS)).cast("int")
     placed = rest.where("node <> centre").join(mixed, "key").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     low, high = F.least("block", "other"), F.greatest("block", "other")

@@ -56,8 +56,9 @@ def test_encoder_equals_the_tokenizer():
         assert encoder.encode(text) == np.array(plain.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
-def test_pack_a_table(spark):
-    rows = [(1, "word " * 300), (None, None), (2, ""), (3, "a b c"), (3, "a b c"), (4, "x y " * 40)]
+def test_pack_a_table(spark, monkeypatch):
+    monkeypatch.setattr(pk, "RANKED", 2)  # the common length is ranked in parts
+    rows = [(1, "word " * 300), (None, None), (2, ""), (3, "a b c"), (3, "a b c"), (4, "x y " * 40)] + [(10 + k, "d e f") for k in range(60)]
     frame = spark.createDataFrame([(*r, 5, 6) for r in rows], "doc_id long, text string, piece int, offset long")
     out = pk.pack(frame, pk.tokenizer_path(), capacity=64, ids=True).collect()
     encoder = pk.Encoder(pk.tokenizer_path())
@@ -105,12 +106,17 @@ def test_shards_are_even_and_groups_whole(spark):
     assert sh.shard(frame.limit(0)).collect() == []
 
 
-def test_a_group_larger_than_a_shard_is_split(spark):
+def test_a_group_larger_than_a_shard_is_split(spark, monkeypatch):
+    monkeypatch.setattr(sh, "RANKED", 10)
     rows = [(k, "hot text") for k in range(3000)] + [(5000 + k, f"cold {k} " * 3) for k in range(300)]
     out = sh.shard(spark.createDataFrame(rows, "doc_id long, text string"), 8).collect()
     sizes = collections.Counter()
     for r in out:
         sizes[r["shard"]] += r["size"]
+    slots = collections.defaultdict(list)
+    for r in out:
+        slots[r["shard"]].append(r["slot"])
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
     assert len(out) == len(rows) and max(sizes.values()) - min(sizes.values()) < 0.05 * sum(sizes.values()) / 8
 
 
@@ -160,7 +166,8 @@ def test_near_dedup_against_brute_force(spark, monkeypatch):
     want = {width: brute_components(rows, width, 80) for width in (4, 5)}
     got = sorted((tuple(r)[:4] for r in nd.cluster(frame, 4).collect()), key=repr)
     assert got == want[4]
-    monkeypatch.setattr(nd, "BLOCK", 3)  # several blocks a bucket
+    monkeypatch.setattr(nd, "BLOCK", 3)  # several blocks a bucket, several tiles a star
+    monkeypatch.setattr(nd, "ELEMENTS", 300)
     got = sorted((tuple(r)[:4] for r in nd.cluster(frame).collect()), key=repr)
     assert got == want[5]
 
