@@ -28,8 +28,8 @@ CLASSES, FILLERS = 256, 0.1
 SHARE, OPEN = 0.9, 3
 #: Each step covers this share of the scarcest class of a configuration; ETA: how fast covered classes lose weight.
 STEP, ETA, MOST_STEPS = 0.25, 3.0, 3000
-#: Pieces that one task ranks at most, about.
-RANKED = 200_000
+#: A length with more pieces than this, and than a shuffle partition's fair share, is ranked in several parts.
+RANKED = 1000
 
 
 # --- tokens -------------------------------------------------------------------------------------------------------------
@@ -286,15 +286,18 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
     sent = spark.sparkContext.broadcast(places(plan(histogram, capacity)))
     # Rank among equal lengths: a length with many pieces is spread by a hash, ranked inside each part, and parts are counted before.
-    salts = F.create_map(*(x for length, n in sorted(histogram.items()) for x in (F.lit(length), F.lit(max(1, math.ceil(n / RANKED)))))) if histogram else None
-    most = max(histogram.values(), default=0)
-    salt = F.pmod(F.xxhash64("doc_id", "piece"), salts[F.col("length")]) if most > RANKED else F.lit(0).cast("long")
+    share = max(RANKED, sum(histogram.values()) // int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = {length: math.ceil(n / share) for length, n in histogram.items() if n > share}
+    salt = F.lit(0).cast("long")
+    if parts:
+        spread = F.create_map(*(x for length, n in sorted(parts.items()) for x in (F.lit(length), F.lit(n))))
+        salt = F.pmod(F.xxhash64("doc_id", "piece"), F.coalesce(F.try_element_at(spread, F.col("length")), F.lit(1)))
     salted = cut.withColumn("salt", salt)
     sums = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = sums.select("length", "salt", (F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).alias("before"))
     order = ["doc_id", "piece", "ids_crc32"]
     ranked = salted.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy(*order)) - 1)
-    if most > RANKED:
+    if parts:
         ranked = ranked.join(before, ["length", "salt"]).withColumn("rank", F.col("rank") + F.col("before"))
     columns = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if ids else [])]
 
