@@ -19,8 +19,8 @@ from .common import documents, utf8_bytes, written
 CLASSES, MOST_CLASSES, CLASS_BYTES = 4096, 1 << 17, 64 << 20
 #: A group over this share of a shard is placed by itself; over WHOLE shares it is split into parts of at most PART shares.
 ALONE, WHOLE, PART = 1 / 256, 0.9, 1 / 8
-#: Rows that one task ranks at most, about.
-RANKED = 100_000
+#: A unit with more rows than this, and than a shuffle partition's fair share, is ranked in several parts.
+RANKED = 1000
 
 
 @dataclass(frozen=True)
@@ -118,7 +118,8 @@ def shard(docs: DataFrame, shards: int = 16) -> DataFrame:
     for s in range(shards):
         own = order[placed[order] == s]
         at[own] = np.cumsum(counts[own]) - counts[own]
-    salts = [max(1, math.ceil(n / RANKED)) for n in counts.tolist()]
+    share = max(RANKED, total["rows"] // int(spark.conf.get("spark.sql.shuffle.partitions")))
+    salts = [max(1, math.ceil(n / share)) for n in counts.tolist()]
     plan = spark.createDataFrame(list(zip(units["unit"].to_pylist(), placed.tolist(), at.tolist(), salts, strict=True)), "unit long, shard int, at long, salts long")
     # Ranks inside a unit: by salt first, so that a unit with a third of all rows is ranked by many tasks.
     salted = dealt.join(F.broadcast(plan), "unit").withColumn("salt", F.pmod(F.xxhash64(F.lit(3), "doc_id"), "salts"))
