@@ -48,7 +48,7 @@ def shingle_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
     Words are runs of other characters than space and U+0009 to U+000D, with A-Z lower-cased. With fewer words the whole
     sequence is one shingle; without words the set is empty.
     """
-    if len(_words) > 1_000_000:
+    if len(_words) > 200_000:
         _words.clear()
     out = []
     digest = xxhash.xxh3_64_intdigest

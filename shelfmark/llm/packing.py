@@ -42,7 +42,7 @@ class Encoder:
     those of its words, which are kept in a bounded dictionary. Other texts take the tokenizer's own way.
     """
 
-    KEPT = 400_000
+    KEPT, KEPT_PARTS = 200_000, 120_000
     _parts = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^0-9\xb2\xb3\xb9\xbc-\xbea-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+")
     _odd = re.compile(rb"[\x1c-\x1f]")  # white space to Python, not to the tokenizer
 
@@ -83,7 +83,7 @@ class Encoder:
         except KeyError:
             if len(known) > self.KEPT:
                 known.clear()
-            if len(self.parts) > self.KEPT:
+            if len(self.parts) > self.KEPT_PARTS:
                 self.parts.clear()
             for word in words:
                 if word not in known:
@@ -104,7 +104,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
         if tokenizer not in _encoders:
             _encoders[tokenizer] = Encoder(tokenizer)
         encode = _encoders[tokenizer].encode
-        for batch in slices(batches, "text", 8 << 20):
+        for batch in slices(batches, "text"):
             rows = []
             for ident, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 data = encode(text or "") + last
