@@ -1,12 +1,13 @@
 """Substring dedup: content-defined chunks by a gear rolling hash, deduplicated by digest.
 
-A cut depends on the few bytes before it alone, so an insertion moves cuts nearby and no others, and a passage that
-two texts share is cut alike in both. The document with the smallest id keeps a chunk; in the others it goes if it is part of a
-long enough run of such chunks.
+A cut depends on the bytes near it alone, so an insertion moves cuts nearby and no others, and a passage that
+two texts share is cut alike in both. The document with the smallest id keeps a chunk; in the others, runs of such chunks are
+extended byte by byte against that document's text and go if they are long enough.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,86 +17,232 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, slices, text_buffer
+from .common import documents, slices, text_buffer, written
 
-#: The rolling hash sees WINDOW bytes (a power of two). A white-space byte ends a chunk if the hash's top bits are zero, one in RARE (a
-#: power of two), and no other such byte came in the LEAST bytes before. Longer stretches
-#: than MOST bytes are cut there, or at the white space before.
-WINDOW, RARE, LEAST, MOST = 8, 2, 12, 160
+#: The rolling hash sees WINDOW bytes (a power of two). Places for cuts are the beginnings of words, of characters of three bytes or more, and,
+#: DEEP bytes after the last white space, where the hash is least among five. A cut is the least of SPAN places in a row, so that
+#: 2 * SPAN + 2 words or characters that two texts share hold a whole chunk of both. In periodic text each period may be a cut: one is kept in STRIDE bytes.
+WINDOW, SPAN, DEEP, STRIDE, MOST = 8, 14, 16, 40, 160
+#: Runs are extended by at most so many bytes: more than lie between an end of a shared passage and its first cut, but for very long words.
+REACH = 256
+#: So many chunks at each end of a run are extended against their owners, as neighbours may have different ones.
+ENDS = 4
 #: Runs of repeated chunks with fewer words stay.
 RUN_WORDS = 20
+#: A character of a script without spaces counts as a word, and so do LETTERS characters of a longer word.
+LETTERS = 20
+#: Texts are exchanged only if their document's hash is in a table of so many places.
+PLACES = 1 << 20
 
+_UNSPACED = re.compile("[฀-໿က-႟ក-៿぀-ヿ㐀-鿿豈-﫿\U00020000-\U0003ffff]")
 _GEAR = np.array([xxhash.xxh3_64_intdigest(bytes([b]), 11) & 0xFFFFFFFF for b in range(256)], np.uint32)
 
 
-def cuts(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Begin and end of every chunk of all texts, in order. Chunks of one text cover it; they begin and end between characters."""
-    size = len(data)
+def words(text: str) -> int:
+    """Words between white space; in scripts without spaces, and in very long words, characters count."""
+    return sum(max(1, len(word) // LETTERS, 0 if word.isascii() else len(_UNSPACED.findall(word))) for word in text.split())
+
+
+def _rolling(data: np.ndarray) -> np.ndarray:
+    """The hash of the WINDOW bytes up to each byte."""
     rolling = _GEAR[data]
     step = 1
     while step < WINDOW:  # the sum over 2 * step bytes from two sums over step bytes
         rolling[step:] += rolling[:-step] << np.uint32(step)
         step *= 2
+    return rolling * np.uint32(0x9E3779B1)
+
+
+def cuts(offsets: np.ndarray, data: np.ndarray, rolling: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and end of every chunk of all texts, in order. Chunks of one text cover it; they begin and end between characters."""
+    rolling = _rolling(data) if rolling is None else rolling
+    index = np.arange(len(data))
     space = (data == 32) | (data - 9 <= 4)
-    hit = space & ((rolling * np.uint32(0x9E3779B1)) >> np.uint32(32 - RARE.bit_length() + 1) == 0)
-    at = np.flatnonzero(hit) + 1
-    text = np.searchsorted(offsets, at - 1, "right") - 1  # the text a cut is in
-    inside = (at - offsets[text] >= WINDOW) & (at < offsets[text + 1])  # the window lies in one text
-    at, begins = at[inside], offsets[text[inside]]
-    before = np.maximum(np.concatenate([[-1], at[:-1]]), begins) if len(at) else at
-    at = at[at - before >= LEAST]
+    begin = np.repeat(offsets[:-1], np.diff(offsets))
+    # A cut before byte k sees the WINDOW bytes before it, which lie in one text.
+    hashed = np.append(np.uint32(0), rolling[:-1]) >> np.uint32(1)
+    hashed[data & 0xC0 == 0x80] |= np.uint32(1 << 31)  # never inside a character
+    since = index - np.maximum(np.maximum.accumulate(np.where(space, index, -1)), begin - 1)
+    place = (since == 1) | (data >= 0xE0)
+    deep = np.flatnonzero((since > DEEP) & (data & 0xC0 != 0x80))
+    deep = deep[deep + 2 < len(data)]
+    least = hashed[deep]
+    for k in (-2, -1, 1, 2):
+        least = np.minimum(least, hashed[deep + k])
+    place[deep[hashed[deep] == least]] = True
+    place &= (index - begin >= WINDOW) & ~space
+    place = np.flatnonzero(place)
+    at = np.zeros(0, np.int64)
+    if len(place) >= SPAN:
+        count = len(place)
+        least = (hashed[place].astype(np.uint64) << np.uint64(32)) | np.arange(count - 1, -1, -1, dtype=np.uint64)  # of equal ones the last
+        step = 1
+        while 2 * step <= SPAN:
+            least = np.minimum(least[:-step], least[step:])
+            step *= 2
+        if step < SPAN:
+            least = np.minimum(least[: step - SPAN], least[SPAN - step :])
+        least = least[begin[place[: count - SPAN + 1]] == begin[place[SPAN - 1 :]]]  # all in one text
+        found = count - 1 - (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        new = np.concatenate([[True], found[1:] != found[:-1]]) if len(found) else np.zeros(0, bool)
+        at, value = place[found[new]], (least[new] >> np.uint64(32)).astype(np.int64)
+        if len(at):
+            fresh = np.concatenate([[True], (value[1:] != value[:-1]) | (np.diff(at) >= STRIDE)])
+            block = (at - at[np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))]) // STRIDE
+            at = at[fresh | np.concatenate([[True], block[1:] != block[:-1]])]
     ends = np.unique(np.concatenate([at, offsets[1:][np.diff(offsets) > 0]]))
-    starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
-    long = ends - starts > MOST
-    if long.any():
-        pieces = (ends[long] - starts[long] - 1) // MOST
-        extra = np.repeat(starts[long], pieces) + MOST * (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces) + 1)
-        spaces = np.concatenate([[-1], np.flatnonzero(space)])
-        behind = spaces[np.searchsorted(spaces, extra, "left") - 1] + 1
-        extra = np.where(behind > extra - MOST // 2, behind, extra)
-        for _ in range(3):  # back to a character's first byte
-            extra -= (data[np.minimum(extra, size - 1)] & 0xC0) == 0x80
-        ends = np.unique(np.concatenate([ends, extra]))
-        starts = np.concatenate([[0], ends[:-1]])
-    return starts, ends
+    return np.concatenate([[0], ends[:-1]]) if len(ends) else ends, ends
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc, row_key, text -> one row per chunk."""
+    """doc, row_key, text -> one row per chunk.
+
+    ``place``: its start, and 8 bits each of the hashes of the WINDOW bytes before and after it. ``most``: bounds of the words in REACH bytes
+    before it (7 bits), in it (8), in REACH bytes after it (7), and in WINDOW bytes before and after (4 each).
+    """
     digest = xxhash.xxh3_64_intdigest
     for batch in slices(batches, "text", 2 << 20):
         offsets, data = text_buffer(batch.column(2))
-        starts, ends = cuts(offsets, data)
+        rolling = _rolling(data)
+        starts, ends = cuts(offsets, data, rolling)
         if not len(starts):
             continue
         text = np.searchsorted(offsets, starts, "right") - 1
         whole = memoryview(data.tobytes())
         found = np.fromiter((digest(whole[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), np.uint64, len(starts))
+        # Words may end at any byte that Python takes for white space: each ASCII control or space, and each byte of other characters.
+        gap = (data <= 32) | (data >= 0x80)
+        total = np.concatenate([[0], np.cumsum(gap)])
+        low, high = offsets[text], offsets[text + 1]
+        most = lambda a, b, cap: np.minimum(total[b] - total[a] + (b - a) // LETTERS + 1, cap)  # noqa: E731, B023
+        bounds = most(np.maximum(starts - REACH, low), starts, 127)
+        for a, b, bits in ((starts, ends, 8), (ends, np.minimum(ends + REACH, high), 7), (np.maximum(starts - WINDOW, low), starts, 4), (ends, np.minimum(ends + WINDOW, high), 4)):
+            bounds = (bounds << bits) | most(a, b, (1 << bits) - 1)
+        beside = [rolling[np.clip(at, 0, len(data) - 1)].astype(np.int64) >> 24 for at in (starts - 1, ends + WINDOW - 1)]
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(found.view(np.int64)),
                 batch.column(0).take(pa.array(text)),
                 batch.column(1).take(pa.array(text)),
-                pa.array((starts - offsets[text]).astype(np.int32)),
+                pa.array(((starts - low) << 16) | (beside[0] << 8) | beside[1]),
                 pa.array((ends - starts).astype(np.int32)),
+                pa.array(bounds.astype(np.int32)),
             ],
-            ["digest", "doc", "row_key", "start", "length"],
+            ["digest", "doc", "row_key", "place", "length", "most"],
         )
 
 
+def _runs(least: int):
+    """doc, row_key, chunks -> the chunks of the runs that can have ``least`` words once extended; ``side``: to extend left (1), right (2), both (3)."""
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc", "row_key", "start", "length", "digest", "owner", "place", "side", "reach_left", "reach_right"]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
+        for batch in batches:
+            rows = []
+            for doc, row_key, chunks in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                found: list[list[tuple]] = []
+                for c in sorted({(c["place"] >> 16, c["length"], c["most"], c["place"], c["digest"], c["owner"], c["owner_place"]) for c in chunks}):
+                    if found and c[0] == found[-1][-1][0] + found[-1][-1][1]:
+                        found[-1].append(c)
+                    else:
+                        found.append([c])
+                # Runs that may meet once they are extended count together.
+                near: list[list[tuple]] = []
+                for run in found:
+                    # Unless the bytes beside a chunk may be the owner's, it is extended by less than WINDOW bytes.
+                    left = any((c[3] ^ c[6]) & 0xFF00 == 0 for c in run[:ENDS])
+                    right = any((c[3] ^ c[6]) & 0xFF == 0 for c in run[-ENDS:])
+                    low, high = run[0][0] - (REACH if left else WINDOW), run[-1][0] + run[-1][1] + (REACH if right else WINDOW)
+                    bound = run[0][2] >> (23 if left else 4) & (127 if left else 15)
+                    bound += sum(c[2] >> 15 & 255 for c in run) + (run[-1][2] >> (8 if right else 0) & (127 if right else 15))
+                    if near and low <= near[-1][-1][1]:
+                        near[-1].append((run, high, bound))
+                    else:
+                        near.append([(run, high, bound)])
+                for group in near:
+                    if sum(bound for _, _, bound in group) < min(least, 127):
+                        continue
+                    for run, _, _ in group:
+                        low, high = run[0][0], run[-1][0] + run[-1][1]
+                        for k, (start, length, _, _, digest, owner, place) in enumerate(run):
+                            beside = run[k][3] ^ place
+                            left, right = (start - low + REACH if beside & 0xFF00 == 0 else WINDOW), (high - start - length + REACH if beside & 0xFF == 0 else WINDOW)
+                            side = (k < ENDS and left > start - low) + 2 * (k >= len(run) - ENDS and right > high - start - length)
+                            rows.append((doc, row_key, start, length, digest, owner, place >> 16, side, left, right))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+    return runs
+
+
+def _beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """An owner's text and the chunks asked of it -> the bytes beside each chunk there."""
+    for batch in slices(batches, "text", 8 << 20):
+        offsets, data = text_buffer(batch.column(0))
+        whole = memoryview(data.tobytes())
+        rows = []
+        for k, (doc, row_key, start, length, digest, place, side, left, right) in enumerate(zip(*(batch.column(j).to_pylist() for j in range(1, 10)), strict=True)):
+            low, high = int(offsets[k]), int(offsets[k + 1])
+            a, b = low + place, low + place + length
+            if b > high or xxhash.xxh3_64_intdigest(whole[a:b]) != digest % (1 << 64):
+                continue  # another row of the owner's id
+            rows.append((doc, row_key, start, length, bytes(whole[max(low, a - left) : a]) if side & 1 else b"", bytes(whole[b : min(high, b + right)]) if side & 2 else b""))
+        if rows:
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc", "row_key", "start", "length", "left", "right"])
+
+
+def _common(a: bytes, b: bytes) -> int:
+    """How many first bytes are the same."""
+    n = min(len(a), len(b))
+    if a[:n] == b[:n]:
+        return n
+    return next(k for k in range(n) if a[k] != b[k])
+
+
+def _whole_words(data: bytes, start: int, end: int) -> tuple[int, int]:
+    """The span without the parts of characters and of words at its ends; a part of over 2 * LETTERS stays."""
+    while start < end and data[start] & 0xC0 == 0x80:
+        start += 1
+    while start < end < len(data) and data[end] & 0xC0 == 0x80:
+        end -= 1
+    wordy = lambda k: 32 < data[k] < 0x80
+    if start and wordy(start - 1):
+        at = start
+        while at < min(end, start + 2 * LETTERS) and wordy(at):
+            at += 1
+        start = at if at < start + 2 * LETTERS else start
+    if end < len(data) and wordy(end):
+        at = end
+        while at > max(start, end - 2 * LETTERS) and wordy(at - 1):
+            at -= 1
+        end = at if at > end - 2 * LETTERS else end
+    return start, max(start, end)
+
+
 def cut_runs(text: str, spans: list[dict], least: int) -> tuple[str, list[dict]]:
-    """The text without its runs of repeated chunks that have ``least`` words or more, and those runs in code points."""
+    """The text without its runs of repeated chunks that have ``least`` words or more, and those runs in code points.
+
+    ``spans``: start and length of a chunk, with the owner's bytes to its left and right where it is to be extended.
+    """
     data = text.encode()
+    found = []
+    for s in spans:
+        start, end = s["start"], s["start"] + s["length"]
+        left, right = s.get("left") or b"", s.get("right") or b""
+        found.append((start - _common(data[max(0, start - len(left)) : start][::-1], left[::-1]), end + _common(data[end : end + len(right)], right)))
     runs: list[list[int]] = []
-    for start, end in sorted({(s["start"], s["start"] + s["length"]) for s in spans}):
-        if runs and runs[-1][1] == start:
-            runs[-1][1] = end
+    for start, end in sorted(set(found)):
+        if runs and runs[-1][1] >= start:
+            runs[-1][1] = max(runs[-1][1], end)
         else:
             runs.append([start, end])
     kept, gone, at, chars = [], [], 0, 0
     for start, end in runs:
+        start, end = _whole_words(data, start, end)
         run = data[start:end]
-        if len(run.split()) < least:
+        if words(run.decode()) < least:
             continue
         before, inside = data[at:start].decode(), run.decode()
         kept.append(before)
@@ -106,22 +253,53 @@ def cut_runs(text: str, spans: list[dict], least: int) -> tuple[str, list[dict]]
     return "".join(kept), gone
 
 
+def _among(docs: DataFrame, ids: DataFrame, inside: bool = True) -> DataFrame:
+    """The rows of ``docs`` whose ``_doc`` may be in ``ids`` (one column), or the others: by a table of PLACES bits, so its size has a bound."""
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(PLACES)).cast("int")
+    held = np.zeros(PLACES, bool)
+    held[ids.select(place(ids.columns[0]).alias("at")).distinct().toArrow()["at"].to_numpy()] = True
+    sent = docs.sparkSession.sparkContext.broadcast(np.packbits(held))
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.unpackbits(sent.value).astype(bool)
+        for batch in batches:
+            wanted = held[batch.column(batch.num_columns - 1).to_numpy()] == inside
+            if wanted.any():
+                rest = batch.select(list(range(batch.num_columns - 1)))
+                yield rest if wanted.all() else rest.filter(pa.array(wanted))
+
+    return docs.withColumn("_at", place("_doc")).mapInArrow(some, docs.schema)
+
+
 def dedup_substrings(docs: DataFrame, least: int = RUN_WORDS) -> DataFrame:
     """``docs`` (doc_id, text and any other columns) with ``text`` shortened and ``removed_spans`` (start and length in code points of the input text).
 
     A chunk stays in the document with the smallest doc_id that holds it, everywhere there; in the others, runs of such chunks
-    of ``least`` words or more go. So texts are compared between documents only: what a document repeats inside itself stays.
+    go if they have ``least`` words or more once extended to whole words that the owner's text has there too. So texts are compared between documents only: what a
+    document repeats inside itself stays.
     One row per input row; a text that is all repeated becomes empty. Null text: stays null, no spans. Null doc_id: counts as
     the largest id; rows with one doc_id are one document. A column ``removed_spans`` of the input is replaced. Empty table: no rows.
     """
     docs = docs.drop("removed_spans")
     keyed = docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))).withColumn("_key", F.xxhash64("text"))
-    chunks = keyed.where("length(text) > 0").select(F.col("_doc").alias("doc"), F.col("_key").alias("row_key"), "text").mapInArrow(_chunks, "digest long, doc long, row_key long, start int, length int")
-    shared = chunks.groupBy("digest").agg(F.min("doc").alias("owner"), F.max("doc").alias("last")).where("owner < last").select("digest", "owner")
+    texts = keyed.where("length(text) > 0")
+    chunks = texts.select(F.col("_doc").alias("doc"), F.col("_key").alias("row_key"), "text").mapInArrow(_chunks, "digest long, doc long, row_key long, place long, length int, most int")
+    shared = chunks.groupBy("digest").agg(F.min("doc").alias("owner"), F.max("doc").alias("last"), F.min_by("place", "doc").alias("owner_place")).where("owner < last").select("digest", "owner", "owner_place")
     repeated = chunks.join(shared, "digest").where("doc > owner")
-    # The spans of one row: no more than its own chunks.
-    spans = repeated.groupBy("doc", "row_key").agg(F.collect_list(F.struct("start", "length")).alias("_spans"))
-    marked = keyed.join(spans, (F.col("_doc") == F.col("doc")) & (F.col("_key") == F.col("row_key")), "left").select(*docs.columns, "_spans")
+    # The chunks of one row: no more than its own.
+    held = repeated.groupBy("doc", "row_key").agg(F.collect_list(F.struct("place", "length", "most", "digest", "owner", "owner_place")).alias("chunks"))
+    runs = written(held.mapInArrow(_runs(least), "doc long, row_key long, start int, length int, digest long, owner long, place int, side int, reach_left int, reach_right int"), "runs")
+    asked = runs.where("side > 0")
+    owners = _among(texts.select("_doc", "text"), asked.select("owner"))
+    beside = (
+        asked.join(owners, asked["owner"] == owners["_doc"])
+        .select("text", "doc", "row_key", "start", "length", "digest", "place", "side", "reach_left", "reach_right")
+        .mapInArrow(_beside, "doc long, row_key long, start int, length int, left binary, right binary")
+    )
+    nothing = F.lit(None).cast("binary")
+    every = runs.select("doc", "row_key", "start", "length", nothing.alias("left"), nothing.alias("right")).unionAll(beside)
+    spans = every.groupBy("doc", "row_key").agg(F.collect_list(F.struct("start", "length", "left", "right")).alias("_spans"))
+    marked = _among(keyed, runs.select("doc")).join(spans, (F.col("_doc") == F.col("doc")) & (F.col("_key") == F.col("row_key")), "left").select(*docs.columns, "_spans")
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("length", T.LongType())])
     schema = T.StructType([*docs.schema.fields, T.StructField("removed_spans", T.ArrayType(span))])
     text_at, kind = docs.columns.index("text"), pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
@@ -139,7 +317,9 @@ def dedup_substrings(docs: DataFrame, least: int = RUN_WORDS) -> DataFrame:
             columns = [texts if k == text_at else batch.column(k) for k in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(gone, kind)], [*batch.schema.names[:-1], "removed_spans"])
 
-    return marked.mapInArrow(cut, schema)
+    whole = _among(keyed, runs.select("doc"), inside=False).select(*docs.columns)
+    none = F.array().cast(T.ArrayType(span))
+    return marked.mapInArrow(cut, schema).unionByName(whole.withColumn("removed_spans", none))
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -121,3 +121,29 @@ def test_substring_dedup(spark):
         assert "".join(left) + rows[k][1][at:] == by[k]["text"]
     assert len(by[None]["text"]) < 0.2 * len(shared)
     assert sd.dedup_substrings(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_every_shared_passage_goes_whole(spark):
+    rng = random.Random(16)
+    make = lambda n, least, most: " ".join("".join(rng.choices("abcdefghijklmnop", k=rng.randint(least, most))) for _ in range(n))
+    han = lambda n: "".join(chr(rng.randint(0x4E00, 0x9000)) for _ in range(n))
+    rows, passages = [], []
+    for k in range(360):
+        passage = [make(52, 1, 3), make(52, 2, 9), han(60)][k % 3]
+        passages.append(passage)
+        around = (lambda: han(rng.randint(20, 200))) if k % 3 == 2 else lambda: make(rng.randint(10, 60), 2, 9) + " "
+        for doc in (k, 1000 + k):
+            after = around()
+            rows.append((doc, around() + passage + (after if k % 3 == 2 else " " + after)))
+    got = {r["doc_id"]: r for r in sd.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    texts = dict(rows)
+    for k, passage in enumerate(passages):
+        assert got[k]["removed_spans"] == [] and got[k]["text"] == texts[k]
+        spans = got[1000 + k]["removed_spans"]
+        assert len(spans) == 1
+        gone = texts[1000 + k][spans[0]["start"] : spans[0]["start"] + spans[0]["length"]]
+        assert passage.strip() in gone and len(gone) <= len(passage) + 30
+
+
+def test_words_of_texts_without_spaces():
+    assert sd.words("one two\tthree") == 3 and sd.words("一二三四五 two") == 6 and sd.words("z" * 400) == 20
