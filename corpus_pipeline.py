@@ -13,8 +13,13 @@ LEAST_SCORE = 0.5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a learned language; the model learns from the labelled rows of the training folds."""
+    """Documents in a learned language; the model learns from the labelled rows of the training folds.
+
+    If those hold no label, there is no language to tell: only texts without a letter are rejected.
+    """
     model = language_id.fit(docs.where(~language_id.held_out()))
+    if not model.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     found = language_id.predict(docs, model)
     return found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).drop("lang_pred", "score")
 

@@ -42,3 +42,9 @@ def test_stages(spark, tmp_path):
     packed = kept[4][1].collect()
     assert {r["doc_id"] for r in packed} == set(ids[3]) and all(r["offset"] + r["length"] <= 4096 for r in packed)
     assert sorted((r["doc_id"] or -1, r["piece"], r["length"]) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == sorted((r["doc_id"] or -1, r["piece"], r["length"]) for r in packed)
+
+
+def test_a_corpus_without_labels_keeps_its_documents(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a clean document", None), (2, "12345 !!!", None), (3, None, None), (None, "Ünïcode", None)], "doc_id long, text string, lang string")
+    out = corpus_pipeline.language(spark, docs, str(tmp_path))
+    assert out.columns == docs.columns and {r["text"] for r in out.collect()} == {"a clean document", "Ünïcode"}
