@@ -39,19 +39,22 @@ class Encoder:
     """Ids of whole texts as little-endian unsigned 32-bit bytes, equal to the tokenizer's own.
 
     The tokenizer lower-cases, splits at white space and never merges across it, so ids of a text of Latin-1 characters are
-    those of its words, which are kept in a bounded dictionary. Other texts take the tokenizer's own way.
+    those of its words, which are kept in a bounded dictionary. Other texts, and with ``added`` those that hold an added token, take the
+    tokenizer's own way. Without ``added``, added tokens are encoded as plain text.
     """
 
     KEPT, KEPT_PARTS = 200_000, 120_000
     _parts = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^0-9\xb2\xb3\xb9\xbc-\xbea-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+")
     _odd = re.compile(rb"[\x1c-\x1f]")  # white space to Python, not to the tokenizer
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, added: bool = False) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not added
         self.model = self.tokenizer.model
+        names = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()] if added else []
+        self.added = re.compile("|".join(names) or "(?!)", re.IGNORECASE)  # the tokenizer may match them after lower-casing
         # The byte-level alphabet: printable Latin-1 bytes stand for themselves, the others for the code points from 256 on.
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in set(plain)]
@@ -71,7 +74,7 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         try:
-            plain = not self._odd.search(text.encode("latin-1"))
+            plain = not self._odd.search(text.encode("latin-1")) and not self.added.search(text)
         except UnicodeEncodeError:
             plain = False
         if not plain:
@@ -102,7 +105,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if tokenizer not in _encoders:
-            _encoders[tokenizer] = Encoder(tokenizer)
+            _encoders[tokenizer] = Encoder(tokenizer, added=True)
         encode = _encoders[tokenizer].encode
         for batch in slices(batches, "text"):
             rows = []

@@ -56,6 +56,18 @@ def test_encoder_equals_the_tokenizer():
         assert encoder.encode(text) == np.array(plain.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def test_added_tokens_keep_their_ids(spark):
+    from tokenizers import Tokenizer
+
+    path = pk.tokenizer_path()
+    encoder, plain = pk.Encoder(path, added=True), Tokenizer.from_file(path)
+    assert plain.encode("a <|endoftext|> b", add_special_tokens=False).ids == [320, 49407, 321]
+    for text in ("a <|endoftext|> b", "x<|startoftext|>y", "<|ENDOFTEXT|> ok", "<|endoftext|>", "a <|endoftext b", "plain text"):
+        assert encoder.encode(text) == np.array(plain.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    (row,) = pk.pieces(spark.createDataFrame([(1, "a <|endoftext|> b")], "doc_id long, text string"), path).collect()
+    assert (row["length"], row["ids_crc32"]) == (4, zlib.crc32(np.array([320, 49407, 321, 1], "<u4").tobytes()))
+
+
 def test_pack_a_table(spark, monkeypatch):
     monkeypatch.setattr(pk, "RANKED", 2)  # the common length is ranked in parts
     rows = [(1, "word " * 300), (None, None), (2, ""), (3, "a b c"), (3, "a b c"), (4, "x y " * 40)] + [(10 + k, "d e f") for k in range(60)]
