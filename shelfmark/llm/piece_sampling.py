@@ -1,8 +1,9 @@
 """SentencePiece encoding by forward filtering and backward sampling over the piece lattice, and lossless decoding.
 
 The segmentation of a row is drawn from the distribution over all segmentations, with probabilities raised to ``alpha``. Draws come
-from a hash of (seed, row key, place in the row), so a row's segmentation depends on nothing else. Pieces never cross the space
-before a word, so the lattice of a text is that of its words one after the other; a batch's distinct words are filtered together.
+from a hash of (seed, row key, place in the row), so a row's segmentation depends on nothing else. No piece crosses from a word to
+the space after it, so the lattice of a text is that of its units (a run of spaces with the word after it) one after the other;
+a batch's distinct units are filtered together, whatever their length. Sums are held as logarithms, so no ``alpha`` underflows.
 """
 
 from __future__ import annotations
@@ -21,9 +22,10 @@ from .common import documents, slices, text_buffer
 MODEL = "piece_bpe_32k.model"
 ALPHA, SEED = 0.2, 1
 _SPACE = "▁"
-#: A lattice spans a word with the space before it, at most so many characters: longer words are cut there.
-LONGEST = 32
-_UNITS = re.compile(f" [^ ]{{0,{LONGEST - 1}}}|[^ ]{{1,{LONGEST}}}")
+_UNITS = re.compile(" *[^ ]+| +")
+#: So many characters of units are filtered at a time, and of a longer unit the edges of so many characters are held: memory has a bound, the lattice
+#: and the draws are the same. A step over all units costs about as much as STEP characters of a unit by itself.
+BLOCK, WINDOW, STEP = 1 << 20, 1 << 15, 8
 _FILTER = 20  # bits of the filter before the search in the vocabulary
 _U = np.uint64
 
@@ -54,8 +56,7 @@ class Pieces:
                 spelled.append(b"")
             else:
                 spelled.append(piece.replace(_SPACE, " ").encode())
-                if _SPACE not in piece[1:]:
-                    self.ids[piece] = k
+                self.ids[piece] = k
         total = sum(1 / (r + 2.7) for r in range(len(self.ids)))
         by_rank = sorted(self.ids, key=lambda p: (-model.get_score(self.ids[p]), self.ids[p]))
         self.log_prob = {p: -math.log((r + 2.7) * total) for r, p in enumerate(by_rank)}
@@ -78,90 +79,204 @@ class Pieces:
         self.spelled = np.frombuffer(b"".join(spelled), np.uint8)
 
 
-class Lattice:
-    """The lattices of some distinct words, with all forward sums.
+def edges(real: np.ndarray, end: np.ndarray, pieces: Pieces, alpha: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All edges of the lattices of some units: first character, number of characters, alpha * log-probability and id.
 
-    Word w has the characters ``begin[w]`` to ``begin[w] + size[w]`` and the nodes ``node[w]`` to ``node[w] + size[w]``. ``weight[n - 1][i]`` is that of
-    the piece of n characters from character i (0: none), ``piece`` its id, or minus a code point that falls back to bytes.
+    ``real``: the code points of all units; ``end``: for each, the end of its unit. A character that no piece holds falls back to its
+    bytes; the id is then minus its code point.
     """
+    # A space is the piece alphabet's mark; the mark itself, in a text, must not pass for a space.
+    codes = np.where(real == 32, ord(_SPACE), np.where(real == ord(_SPACE), 0, real)).astype(np.uint64)
+    hashed = np.zeros(len(codes), np.uint64)
+    at = np.arange(len(codes))
+    first, size, weight, ids = [], [], [], []
+    for n in range(1, pieces.longest + 1):
+        at = at[at + n <= end[at]]
+        hashed[at] = _mix(hashed[at] * _U(0x9E3779B97F4A7C15) + codes[at + n - 1] + _U(1))
+        known, own, log_prob, seen = pieces.tables[n - 1]
+        if not len(known):
+            continue
+        maybe = at[seen[hashed[at] >> _U(64 - _FILTER)]]
+        found = np.minimum(np.searchsorted(known, hashed[maybe]), len(known) - 1)
+        hit = known[found] == hashed[maybe]
+        first.append(maybe[hit])
+        weight.append(alpha * log_prob[found[hit]])
+        ids.append(own[found[hit]])
+        if n == 1:
+            odd = np.ones(len(codes), bool)
+            odd[first[0]] = False
+            odd = np.flatnonzero(odd)
+            wide = 1 + (real[odd] >= 0x80).astype(int) + (real[odd] >= 0x800) + (real[odd] >= 0x10000)
+            first.append(odd)
+            weight.append(alpha * pieces.fallback * wide)
+            ids.append(-real[odd].astype(np.int32))
+            size.append(np.ones(len(odd), np.int64))
+        size.append(np.full(int(hit.sum()), n))
+    return np.concatenate(first), np.concatenate(size), np.concatenate(weight), np.concatenate(ids)
 
-    def __init__(self, words: list[str], pieces: Pieces, alpha: float) -> None:
-        text = "".join(words)
-        real = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-        # A space is the piece alphabet's mark; the mark itself, in a text, must not pass for a space.
-        codes = np.where(real == 32, ord(_SPACE), np.where(real == ord(_SPACE), 0, real)).astype(np.uint64)
-        self.size = np.array([len(w) for w in words], np.int64)
-        self.begin = np.cumsum(self.size) - self.size
-        self.node = self.begin + np.arange(len(words))
-        end = np.repeat(self.begin + self.size, self.size)
-        self.weight, self.piece = [], []
-        hashed = np.zeros(len(codes), np.uint64)
-        at = np.arange(len(codes))
-        for n in range(1, pieces.longest + 1):
-            at = at[at + n <= end[at]]
-            hashed[at] = _mix(hashed[at] * _U(0x9E3779B97F4A7C15) + codes[at + n - 1] + _U(1))
-            known, ids, log_prob, seen = pieces.tables[n - 1]
-            weight, piece = np.zeros(len(codes)), np.zeros(len(codes), np.int32)
-            maybe = at[seen[hashed[at] >> _U(64 - _FILTER)]]
-            found = np.minimum(np.searchsorted(known, hashed[maybe]), len(known) - 1)
-            hit = known[found] == hashed[maybe]
-            weight[maybe[hit]], piece[maybe[hit]] = np.exp(alpha * log_prob[found[hit]]), ids[found[hit]]
-            if n == 1:
-                odd = weight == 0
-                wide = 1 + (real >= 0x80).astype(int) + (real >= 0x800) + (real >= 0x10000)
-                weight[odd], piece[odd] = np.exp(alpha * pieces.fallback * wide[odd]), -real[odd].astype(np.int32)
-            self.weight.append(weight)
-            self.piece.append(piece)
-        self.forward = np.zeros(len(codes) + len(words))
-        self.forward[self.node] = 1.0
-        longest_first = np.argsort(-self.size, kind="stable")
-        count = len(words) - np.searchsorted(np.sort(self.size), np.arange(1, LONGEST + 2), "left")
-        for j in range(1, LONGEST + 1):
-            some = longest_first[: count[j - 1]]
-            node, char = self.node[some] + j, self.begin[some] + j
-            total = np.zeros(len(some))
-            for n in range(1, min(j, pieces.longest) + 1):
-                total += self.forward[node - n] * self.weight[n - 1][char - n]
-            self.forward[node] = total
 
+class Lattice:
+    """The lattices of some distinct units, filtered forward.
 
-def encode(texts: list[str], row_keys: np.ndarray, pieces: Pieces, alpha: float = ALPHA, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
-    """Sampled ids of all texts, one after the other, and the offset of each text's first id (one more than texts)."""
+    Unit w has the nodes ``node[w]`` (before its first character) to ``node[w] + size[w]``. The edges into node k are ``into[k]`` to
+    ``into[k + 1]``; ``share`` is the probability, given a segmentation has a boundary at that node, that its last piece is that edge.
+    """
+
+    def __init__(self, units: list[str], pieces: Pieces, alpha: float) -> None:
+        real = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32)
+        self.size = np.array([len(w) for w in units], np.int64)
+        begin = np.cumsum(self.size) - self.size
+        self.node = begin + np.arange(len(units))
+        unit = np.repeat(np.arange(len(units)), self.size)
+        first, size, weight, ids = edges(real, (begin + self.size)[unit], pieces, alpha)
+        to = first + unit[first] + size
+        order = np.argsort(to, kind="stable")
+        to, self.length, weight, self.piece = to[order], size[order], weight[order], ids[order]
+        nodes = len(real) + len(units)
+        self.into = np.searchsorted(to, np.arange(nodes + 1))
+        # Edges by their distance from the unit's start: all sums before are known when an edge's turn comes.
+        place = np.arange(nodes) - np.repeat(self.node, self.size + 1)
+        depth = place[to]
+        turn = np.argsort(depth.astype(np.uint16) if len(depth) and depth.max() < 1 << 16 else depth, kind="stable")
+        ends = np.searchsorted(depth[turn], np.arange(1, (int(self.size.max()) if len(units) else 0) + 2))
+        to, source, weight = to[turn], (to - self.length)[turn], weight[turn]
+        fresh = np.concatenate([[True], to[1:] != to[:-1]]) if len(to) else np.zeros(0, bool)
+        group = np.cumsum(fresh) - 1
+        heads = np.flatnonzero(fresh)
+        forward = np.zeros(nodes)  # logarithms; 0 at each unit's first node
+        share = np.zeros(len(to))
+        for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            low, high = group[a], group[b - 1] + 1
+            starts, of = heads[low:high] - a, group[a:b] - low
+            value = forward[source[a:b]] + weight[a:b]
+            value -= (top := np.maximum.reduceat(value, starts))[of]
+            value = np.exp(value)
+            total = np.add.reduceat(value, starts)
+            forward[to[heads[low:high]]] = top + np.log(total)
+            share[a:b] = value / total[of]
+        self.share = np.zeros(len(to))
+        self.share[turn] = share
+
+
+def _sampled_long(unit: str, draw: int, pieces: Pieces, alpha: float) -> tuple[list[int], list[int]]:
+    """Ids of one long unit and the nodes they end at, last first: the same filter and draws, with the edges of one window at a time."""
+    real = np.frombuffer(unit.encode("utf-32-le"), np.uint32)
+
+    def window(a: int, b: int) -> tuple[list[int], list[int], list[float], list[int]]:
+        """The edges into the nodes over ``a`` up to ``b``, by node."""
+        low = max(0, a - pieces.longest)
+        first, size, weight, ids = edges(real[low:b], np.full(b - low, b - low), pieces, alpha)
+        to = first + low + size
+        order = np.flatnonzero(to > a)
+        order = order[np.argsort(to[order], kind="stable")]
+        return np.searchsorted(to[order], np.arange(a + 1, b + 2)).tolist(), size[order].tolist(), weight[order].tolist(), ids[order].tolist()
+
+    forward = np.zeros(len(unit) + 1)
+    windows = [(a, min(a + WINDOW, len(unit))) for a in range(0, len(unit), WINDOW)]
+    for a, b in windows:
+        into, size, weight, _ = window(a, b)
+        low = max(0, a - pieces.longest)
+        known = forward[low : a + 1].tolist()
+        for k in range(b - a):
+            here = a + 1 + k - low
+            value = [known[here - size[e]] + weight[e] for e in range(into[k], into[k + 1])]
+            top = max(value)
+            known.append(top + math.log(sum(math.exp(v - top) for v in value)))
+        forward[a + 1 : b + 1] = known[a + 1 - low :]
+    draws = (_mix(_U(draw) + np.arange(len(unit) + 1, dtype=np.uint64)) >> _U(11)).astype(np.float64) * 2.0**-53
+    found, where, at = [], [], len(unit)
+    for a, b in reversed(windows):
+        into, size, weight, ids = window(a, b)
+        low = max(0, a - pieces.longest)
+        known, drawn = forward[low : b + 1].tolist(), draws[a : b + 1].tolist()
+        while at > a:
+            left = drawn[at - a]
+            for e in range(into[at - a - 1], into[at - a]):  # the last edge stands if rounding leaves a share over
+                left -= math.exp(known[at - size[e] - low] + weight[e] - known[at - low])
+                if left < 0:
+                    break
+            found.append(ids[e])
+            where.append(at)
+            at -= size[e]
+    return found, where
+
+
+def _sampled(units: list[str], draw: np.ndarray, pieces: Pieces, alpha: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pieces of all units, in order, and the unit of each; minus a code point where a character falls back to bytes."""
+    sizes = np.array([len(u) for u in units], np.int64)
+    # A few units far longer than all others are filtered by themselves, as they would have most steps alone.
+    longest = np.argsort(-sizes, kind="stable")
+    cost = np.cumsum(np.append(0, sizes[longest])) + STEP * np.append(sizes[longest], 0)
+    apart = longest[: max(int(cost.argmin()), int((sizes > WINDOW).sum()))]
+    together = np.ones(len(units), bool)
+    together[apart] = False
+    found, where = [], []
+    for k in apart.tolist():
+        chosen, ends = _sampled_long(units[k], int(draw[k]), pieces, alpha)
+        found.append(np.array(chosen, np.int32))
+        where.append((k << 32) + np.array(ends, np.int64))
+    alive = np.flatnonzero(together)
     known: dict[str, int] = {}
-    split = [_UNITS.findall(text) for text in texts]
-    unit = np.fromiter((known.setdefault(word, len(known)) for words in split for word in words), np.int64)
-    counts = np.array([len(words) for words in split], np.int64)
+    unit = np.zeros(len(units), np.int64)
+    unit[alive] = [known.setdefault(units[k], len(known)) for k in alive.tolist()]
     lattice = Lattice(list(known), pieces, alpha)
-    row = np.repeat(np.arange(len(texts)), counts)
-    place = (np.arange(len(unit)) - (np.cumsum(counts) - counts)[row]).astype(np.uint64)
-    draw = _mix(_mix(row_keys.astype(np.uint64) + _U(seed) * _U(0x9E3779B97F4A7C15))[row] + place * _U(0xD6E8FEB86659FD93))
-    at = lattice.size[unit]
-    alive = np.arange(len(unit))
-    found, where = [], []
+    at, node = sizes.copy(), lattice.node[unit] if known else sizes
     while len(alive):
         here = at[alive]
-        node, char = lattice.node[unit[alive]] + here, lattice.begin[unit[alive]] + here
-        share = (_mix(draw[alive] + here.astype(np.uint64)) >> _U(11)).astype(np.float64) * 2.0**-53 * lattice.forward[node]
-        length, chosen = np.zeros(len(alive), np.int64), np.zeros(len(alive), np.int32)
+        left = (_mix(draw[alive] + here.astype(np.uint64)) >> _U(11)).astype(np.float64) * 2.0**-53
+        low, high = lattice.into[node[alive] + here], lattice.into[node[alive] + here + 1]
+        edge = low.copy()
         open_ = np.arange(len(alive))
-        for n in range(1, pieces.longest + 1):
-            open_ = open_[here[open_] >= n]
-            weight = lattice.weight[n - 1][char[open_] - n]
-            real = weight > 0  # the last piece met stands if rounding leaves a share over
-            length[open_[real]], chosen[open_[real]] = n, lattice.piece[n - 1][char[open_[real]] - n]
-            share[open_] -= lattice.forward[node[open_] - n] * weight
-            open_ = open_[share[open_] >= 0]
+        while True:  # the last edge stands if rounding leaves a share over
+            left[open_] -= lattice.share[edge[open_]]
+            open_ = open_[(left[open_] >= 0) & (edge[open_] + 1 < high[open_])]
             if not len(open_):
                 break
-        found.append(chosen)
-        where.append((alive << 8) + here)
-        at[alive] -= length
+            edge[open_] += 1
+        found.append(lattice.piece[edge])
+        where.append((alive << 32) + here)
+        at[alive] -= lattice.length[edge]
         alive = alive[at[alive] > 0]
-    if not found:
-        return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
     piece, order = np.concatenate(found), np.concatenate(where)
     sort = np.argsort(order, kind="stable")
-    piece, rows = piece[sort], row[order[sort] >> 8]
+    return piece[sort], order[sort] >> 32
+
+
+def encode(texts: list[str], row_keys: np.ndarray, pieces: Pieces, alpha: float = ALPHA, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+    """Sampled ids of all texts, one after the other, and the offset of each text's first id (one more than texts)."""
+    found, where = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+    units: list[str] = []
+    row: list[int] = []
+    place: list[int] = []
+    held = 0
+
+    def sample() -> None:
+        of = np.array(row, np.int64)
+        draw = _mix(_mix(row_keys.astype(np.uint64) + _U(seed) * _U(0x9E3779B97F4A7C15))[of] + np.array(place, np.uint64) * _U(0xD6E8FEB86659FD93))
+        piece, unit = _sampled(units, draw, pieces, alpha)
+        found.append(piece)
+        where.append(of[unit])
+        units.clear(), row.clear(), place.clear()
+
+    for k, text in enumerate(texts):
+        if len(text) + held <= BLOCK:
+            own = _UNITS.findall(text)
+            units += own
+            row += [k] * len(own)
+            place += range(len(own))
+            held += len(text)
+            continue
+        for n, m in enumerate(_UNITS.finditer(text)):
+            units.append(m[0])
+            row.append(k)
+            place.append(n)
+            held += len(m[0])
+            if held > BLOCK:
+                sample()
+                held = 0
+    if units:
+        sample()
+    piece, rows = np.concatenate(found), np.concatenate(where)
     odd = np.flatnonzero(piece < 0)
     if len(odd):  # bytes of characters that no piece holds
         spelled = [[pieces.byte_id[b] for b in chr(-c).encode()] for c in piece[odd].tolist()]
@@ -195,8 +310,10 @@ def sample_pieces(docs: DataFrame, model: str, alpha: float = ALPHA, seed: int =
     """One row per row of ``docs`` (doc_id, text): doc_id, ids (array of int), n_ids and lossless.
 
     lossless tells whether decoding the ids gives the text's very bytes; it always does. The draw's key is doc_id, so rows
-    with equal doc_id and text get equal ids. Null text: empty, no ids. Null doc_id: key 0. alpha 0 makes all
-    segmentations equally likely, a large alpha the best one certain. Other columns are ignored. Empty table: no rows.
+    with equal doc_id and text get equal ids. Null text: empty, no ids. Null doc_id: key 0. alpha (finite, 0 or more): 0 makes all
+    segmentations equally likely, a large one the best certain (equally good ones share). Texts are encoded as they are: no space is
+    put before the first word, so ids are decoded by :func:`restore`, not by a decoder that takes a leading space off.
+    Other columns are ignored. Empty table: no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

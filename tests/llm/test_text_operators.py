@@ -74,6 +74,63 @@ def test_pieces_round_trip_and_distribution():
     assert all(abs(seen[k] / n - w / total) < 0.015 for k, w in weights.items())
 
 
+def segmentations(shown, pieces, alpha):
+    """Every segmentation of a short text (with marks for spaces) and its probability, by enumeration."""
+    import itertools
+    import math
+
+    weights = {}
+    for marks in itertools.product([0, 1], repeat=len(shown) - 1):
+        parts = "".join(ch + ("|" if m else "") for ch, m in zip(shown, (*marks, 0), strict=True)).split("|")
+        if all(p in pieces.ids for p in parts):
+            weights[tuple(pieces.ids[p] for p in parts)] = alpha * sum(pieces.log_prob[p] for p in parts)
+    top = max(weights.values())
+    total = sum(math.exp(w - top) for w in weights.values())
+    return {ids: math.exp(w - top) / total for ids, w in weights.items()}
+
+
+def test_draws_follow_the_lattice_for_every_alpha(monkeypatch):
+    import collections
+
+    pieces = ps.Pieces(ps.model_path())
+    n = 6000
+    for text in (" there", "   a", "     ", "hello"):
+        for alpha in (0, 0.2, 1, 60, 1000):
+            expected = segmentations(text.replace(" ", "▁"), pieces, alpha)
+            for step in (8, -(10**9)):  # units together, and each by itself
+                monkeypatch.setattr(ps, "STEP", step)
+                m = n if step > 0 else 300
+                ids, at = ps.encode([text] * m, np.arange(m, dtype=np.uint64), pieces, alpha)
+                drawn = [tuple(ids[at[k] : at[k + 1]].tolist()) for k in range(m)]
+                if step > 0:
+                    kept, seen = drawn, collections.Counter(drawn)
+                    assert set(seen) <= {k for k, w in expected.items() if w > 1e-12}
+                    assert all(abs(seen[k] / n - w) < 0.03 for k, w in expected.items())
+                else:
+                    assert drawn == kept[:m]
+    monkeypatch.setattr(ps, "STEP", 8)
+
+
+def test_long_units_have_no_places_where_pieces_never_cross(monkeypatch):
+    rng = random.Random(3)
+    pieces = ps.Pieces(ps.model_path())
+    word = "".join(rng.choices(["the", "ing", "tion", "er", "x7", "中"], k=4000))[:10_000]
+    n = 60
+    texts = [word + str(k) for k in range(n)]
+    alone, at = ps.encode(texts, np.arange(n, dtype=np.uint64), pieces)
+    data, _ = ps.decode(alone, at, pieces)
+    assert data.tobytes().decode() == "".join(texts)
+    monkeypatch.setattr(ps, "WINDOW", 700)
+    monkeypatch.setattr(ps, "BLOCK", 5000)
+    assert ps.encode(texts[:3], np.arange(3, dtype=np.uint64), pieces)[0].tolist() == alone[: at[3]].tolist()
+    # Each boundary of a repeated word is as likely at the end of the 32nd character as anywhere in its period.
+    text, ids, at = "the" * 40, *ps.encode(["the" * 40] * 2000, np.arange(2000, dtype=np.uint64), pieces)
+    rates = np.zeros(len(text) + 1)
+    for k in range(2000):
+        rates[np.cumsum(pieces.lengths[ids[at[k] : at[k + 1]]])] += 1 / 2000
+    assert abs(rates[30:90].reshape(-1, 3) - rates[30:90].reshape(-1, 3).mean(0)).max() < 0.08 and rates[32] < 0.9
+
+
 def test_pieces_of_a_table(spark):
     rows = [(1, "hello there\n", "c", 1), (None, None, "c", 2), (1, "hello there\n", "c", 3), (2, "", "c", 4)]
     out = ps.sample_pieces(spark.createDataFrame(rows, "doc_id long, text string, ids string, n_ids int"), ps.model_path())
