@@ -22,12 +22,19 @@ from .common import documents, slices, written
 CAPACITY = 4096
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
-#: Length classes of the linear program; the share of tokens, from the shortest pieces, that is kept back to fill what classes round off.
-CLASSES, FILLERS = 256, 0.1
-#: Rounding takes this share of each configuration's sequences, without their smallest items: with what is left, best fit closes sequences to the token.
-SHARE, OPEN = 0.9, 3
-#: Each step covers this share of the scarcest class of a configuration; ETA: how fast covered classes lose weight.
-STEP, ETA, MOST_STEPS = 0.25, 3.0, 3000
+#: Length classes of the linear program, sized by their middle (in halves of their width); the share of tokens, from the shortest pieces, that is kept back to close sequences.
+CLASSES, FILLERS = 256, 0.025
+#: The program is solved for what is left until that is at most this share of its tokens, so often at most.
+REST, ROUNDS = 0.02, 12
+#: Each step covers this share of the scarcest class of a configuration at least and at most, between them a share that rises with the classes, so that
+#: steps are about as many; ETA: how fast covered classes lose weight.
+FINE, STEP, ETA, MOST_STEPS = 0.02, 0.25, 3.0, 3000
+#: The largest items of a sequence, whose lengths are chosen together so that it is full; from so many classes beside their own if need be.
+CLOSING, REACH = 6, (0, 2, 6)
+#: So many sums are tried, from the greatest, where items compete for the last pieces of a length.
+TRIES = 4
+#: A sequence is taken only if real lengths fill it; once a solution places less than FEW of what is left so, also if at most LOOSE of it stays empty.
+LOOSE, FEW = 1 / 128, 0.2
 #: A length with more pieces than this, and than a shuffle partition's fair share, is ranked in several parts.
 RANKED = 1000
 
@@ -151,9 +158,10 @@ def configuration_lp(counts: np.ndarray, sizes: np.ndarray, capacity: int) -> li
 
     Multiplicative weights for the covering program (least sum of x; for each class, sum of its items times x >= its count). A class's
     weight starts at its tokens and falls exponentially with the share covered; a covered class weighs nothing. Pricing is the
-    knapsack over prices weight / count.
+    knapsack over prices weight / count. No solution is under counts @ sizes / capacity, so the gap to that is known.
     """
     covered, found = np.zeros(len(counts)), {}
+    share = min(max(len(counts) / CLASSES, FINE), STEP)
     for _ in range(MOST_STEPS):
         open_ = covered < 1 - 1e-9
         if not open_.any():
@@ -161,7 +169,7 @@ def configuration_lp(counts: np.ndarray, sizes: np.ndarray, capacity: int) -> li
         prices = np.where(open_, sizes * np.exp(-ETA * covered), 0.0)
         config = best_configuration(prices, sizes, capacity)
         used = config > 0
-        step = STEP * float((counts[used] / config[used]).min())
+        step = share * float((counts[used] / config[used]).min())
         covered[used] += step * config[used] / counts[used]
         key = config.tobytes()
         found[key] = found.get(key, 0.0) + step
@@ -208,57 +216,115 @@ def best_fit(left: np.ndarray, runs: list[Run], capacity: int) -> list[Run]:
     return [run for held in rooms.values() for run in held]
 
 
+def realised(left: np.ndarray, config: list[tuple[int, int, int]], capacity: int, reach: int) -> list[int]:
+    """Lengths of real pieces (``left``, by length) for the items of a configuration, with the greatest sum that fits; empty if there are none.
+
+    ``config``: first and last length of a class, and how many items of it. The CLOSING largest items are chosen together, by the sums that
+    they can reach, from lengths up to ``reach`` outside their class; others take the length with most pieces. A length is taken no
+    more often than it has pieces.
+    """
+    room, fixed = left.copy(), []
+    wanted = sorted(config, reverse=True)
+    closing = [item for item in wanted for _ in range(min(item[2], CLOSING))][:CLOSING]
+    for low, high, times in wanted:
+        for _ in range(times - closing.count((low, high, times))):
+            length = low + int(room[low : high + 1].argmax())
+            if not room[length]:
+                return []
+            room[length] -= 1
+            fixed.append(length)
+    spare = capacity - sum(fixed)
+    if spare < 0:
+        return []
+    slots = []
+    for low, high, _ in closing:
+        low, high = max(1, low - reach), min(capacity, high + reach)
+        slots.append((low + np.flatnonzero(room[low : high + 1])).tolist())
+    inside = (1 << (spare + 1)) - 1
+    sums = [1]
+    for lengths in slots:
+        more = 0
+        for x in lengths:
+            more |= sums[-1] << x
+        sums.append(more & inside)
+    totals = sums[-1]
+    for _ in range(TRIES):
+        at, left_of, chosen = totals.bit_length() - 1, room.copy(), []
+        if at < 0:
+            break
+        totals ^= 1 << at
+        for lengths, before in zip(reversed(slots), reversed(sums[:-1]), strict=True):
+            could = [x for x in lengths if x <= at and left_of[x] and before >> (at - x) & 1]
+            if not could:  # an item before took the last piece
+                break
+            chosen.append(max(could, key=left_of.__getitem__))
+            left_of[chosen[-1]] -= 1
+            at -= chosen[-1]
+        else:
+            return fixed + chosen
+    return []
+
+
+def rounded(left: np.ndarray, capacity: int) -> list[Run]:
+    """Sequences from configurations of the linear program, rounded; takes their pieces from ``left``.
+
+    Whole sequences of each configuration come first, then one more of each by falling fraction, as pieces allow; the program is solved
+    again for the rest. A sequence that real lengths do not fill stays without its smallest item, for best fit to close.
+    """
+    lengths = np.arange(capacity + 1)
+    grain = max(1, capacity // CLASSES)
+    of = -(-lengths // grain)  # class of a length; its size is its middle, in half grains
+    tokens = np.cumsum(left * lengths)
+    kept_back = int(np.searchsorted(tokens, FILLERS * tokens[-1], "right"))
+    within = np.where(lengths >= kept_back, left, 0)
+    least = REST * int((within * lengths).sum())
+    runs: list[Run] = []
+    loose = 0.0
+    for _ in range(ROUNDS):
+        counts = np.bincount(of, within, of[-1] + 1).astype(np.int64)
+        classes = np.flatnonzero(counts)
+        before = int((within * lengths).sum())
+        if before <= least:
+            break
+        solved = configuration_lp(counts[classes].astype(float), 2 * classes - (grain > 1), 2 * capacity // grain)
+        by_count = [(config, int(x)) for config, x in sorted(solved, key=lambda c: (-c[1], c[0].tobytes()))]
+        by_fraction = [(config, 1) for config, x in sorted(solved, key=lambda c: (-(c[1] % 1), c[0].tobytes()))]
+        for config, n in by_count + by_fraction:
+            used = np.flatnonzero(config)
+            slots = [(max(kept_back, int(classes[j] - 1) * grain + 1), int(classes[j]) * grain, int(config[j])) for j in used]
+            n = min(n, *(int(counts[classes[j]] // config[j]) for j in used))
+            while n > 0:
+                for reach in REACH:
+                    chosen = realised(within, slots, capacity, reach * grain)
+                    if sum(chosen) == capacity:
+                        break
+                if not chosen or capacity - sum(chosen) > loose * capacity:
+                    break
+                if len(chosen) > 1 and sum(chosen) < capacity:
+                    chosen.remove(min(chosen))
+                held = {x: chosen.count(x) for x in chosen}
+                m = min(n, *(int(within[x]) // k for x, k in held.items()))
+                for x, k in held.items():
+                    within[x] -= m * k
+                    left[x] -= m * k
+                    counts[of[x]] -= m * k
+                runs.append((held, m))
+                n = min(n - m, *(int(counts[classes[j]] // config[j]) for j in used))
+        if int((within * lengths).sum()) > (1 - FEW) * before:
+            if loose:
+                break
+            loose = LOOSE
+    return runs
+
+
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[Run]:
-    """Runs of sequences that hold every piece of the histogram once."""
+    """Runs of sequences that hold every piece of the histogram once: rounded configurations, and best fit for what rounding leaves."""
     left = np.zeros(capacity + 1, np.int64)
     for length, n in histogram.items():
         left[length] = n
     runs: list[Run] = [({capacity: 1}, int(left[capacity]))] if left[capacity] else []
     left[capacity] = 0
-    lengths = np.arange(capacity + 1)
-    tokens = np.cumsum(left * lengths)
-    grain = max(1, math.ceil(capacity / CLASSES))
-    kept_back = int(np.searchsorted(tokens, FILLERS * tokens[-1], "right"))
-    of = -(-lengths // grain)  # class of a length, which is its size in grains, rounded up
-    counts = np.bincount(of, np.where(lengths >= kept_back, left, 0), capacity // grain + 2).astype(np.int64)
-    sizes = np.flatnonzero(counts)
-    if len(sizes):
-        solved = configuration_lp(counts[sizes].astype(float), sizes, capacity // grain)
-        for config, x in sorted(solved, key=lambda c: (-c[1], c[0].tobytes())):
-            used = np.flatnonzero(config)
-            n = min(math.floor(SHARE * x), *(int(counts[sizes[j]] // config[j]) for j in used))
-            if n <= 0 or config @ sizes < 0.98 * (capacity // grain):
-                continue
-            config = config.copy()
-            for _ in range(min(OPEN, int(config.sum()) - 1)):
-                config[np.flatnonzero(config)[0]] -= 1
-            used = np.flatnonzero(config)
-            counts[sizes[used]] -= n * config[used]
-            # The pieces of a class are dealt by length: each stretch of sequences with the same lengths is a run.
-            slots = []
-            for j in used:
-                low, high = max(kept_back, (sizes[j] - 1) * grain + 1), sizes[j] * grain
-                for _ in range(config[j]):
-                    need, stretch = n, []
-                    for length in range(high, low - 1, -1):
-                        take = min(need, int(left[length]))
-                        if take:
-                            left[length] -= take
-                            need -= take
-                            stretch.append((length, take))
-                    slots.append(stretch)
-            while n:
-                part = min(s[0][1] for s in slots)
-                held: dict[int, int] = {}
-                for s in slots:
-                    length, m = s[0]
-                    held[length] = held.get(length, 0) + 1
-                    s[0] = (length, m - part)
-                    if m == part:
-                        s.pop(0)
-                runs.append((held, part))
-                n -= part
-    return best_fit(left, runs, capacity)
+    return best_fit(left, runs + rounded(left, capacity), capacity)
 
 
 def places(runs: list[Run]) -> dict[str, np.ndarray]:

@@ -36,6 +36,49 @@ def test_plans_hold_every_piece_and_are_near_the_bound():
     assert check_plan({2049: 1000}, 4096) == 1000
 
 
+def lengths_of(sf):
+    """Histogram of lengths as in the documents of ``sf``: by characters, as tokenising them takes long."""
+    import pyarrow.parquet as pq
+
+    histogram = collections.Counter()
+    for text in pq.read_table(f"/root/testdata/{sf}/documents.parquet", columns=["text"])["text"].to_pylist():
+        whole, rest = divmod(int(len(text or "") / 2.7) + 1, 4096)
+        histogram[4096] += whole
+        histogram[rest] += rest > 0
+    return histogram
+
+
+def test_rounded_configurations_place_nearly_all():
+    rng = np.random.default_rng(7)
+    for sf, times in (("sf0.01", 1), ("sf0.1", 1), ("sf0.1", 10_000)):
+        histogram = lengths_of(sf)
+        if times > 1:  # a large table has pieces of nearly every length
+            dense = np.convolve([histogram[k] if 0 < k < 4096 else 0 for k in range(4096)], np.ones(41) / 41, "same")
+            histogram = {4096: histogram[4096] * times} | {k: int(rng.poisson(n * times)) for k, n in enumerate(dense) if k}
+        left = np.zeros(4097, np.int64)
+        for length, n in histogram.items():
+            left[length] = n
+        alone = sum(n for _, n in pk.best_fit(left.copy(), [], 4096))
+        left[4096] = 0
+        tokens = int((left * np.arange(4097)).sum())
+        runs = pk.rounded(left, 4096)
+        placed = sum(length * each * n for held, n in runs for length, each in held.items())
+        assert placed + int((left * np.arange(4097)).sum()) == tokens and placed >= 0.9 * tokens
+        whole = pk.plan(histogram)
+        assert sum(n for _, n in whole) <= alone
+        # What is broadcast doesn't grow with the pieces.
+        assert len(pk.places(whole)["key"]) < 30_000
+
+
+def test_realised_lengths_fill_the_sequence():
+    left = np.zeros(101, np.int64)
+    left[[38, 31, 29, 12, 10]] = [1, 2, 1, 5, 1]
+    got = pk.realised(left, [(25, 40, 2), (9, 16, 3)], 100, 0)
+    assert sum(got) <= 100 and all(left[x] >= got.count(x) for x in got) and sorted(x > 20 for x in got) == [False] * 3 + [True] * 2
+    assert sum(got) == max(a + b + c for a in (69, 67, 62, 60) for b, c in ((0, 36), (0, 34)) if a + b + c <= 100)
+    assert pk.realised(left, [(25, 40, 6)], 100, 0) == [] and pk.realised(left, [(50, 60, 1)], 100, 0) == []
+
+
 def test_configuration_lp_covers():
     counts, sizes = np.array([50.0, 30.0, 20.0]), np.array([3, 5, 7])
     solved = pk.configuration_lp(counts, sizes, 16)
