@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,80 @@ def test_main_text_keeps_the_article_alone():
     assert len(he.main_text("<article>" + "<p>the word of it</p>" * 20_000)) == 20_000 * 15 - 1
 
 
+def test_density_and_neighbours_decide_inside_articles():
+    menu = "<ul>" + "".join(f"<li><a href=/{k}>A link to page {k} of this site</a></li>" for k in range(4)) + "</ul>"
+    page = f"<article><h1>Title</h1><p>{PROSE}</p><h2>A table</h2><p>a1 | b2 | c3</p><p>{PROSE}</p><div><h3>See these too</h3>{menu}</div><p>© by all</p></article>"
+    assert he.main_text(page) == f"Title\n{PROSE}\nA table\na1 | b2 | c3\n{PROSE}"  # the heading of the menu inherits its label
+    found = he.blocks(page)
+    assert he.first_pass(found) == ["ambiguous", "good", "ambiguous", "ambiguous", "good", "ambiguous"] + ["bad"] * 5
+    assert he.main_text("<article><p>junk | of | the</p><p>more</p></article>") == "junk | of | the\nmore"
+
+
+def test_marked_paragraphs_inline_adverts_and_odd_markup():
+    good = f"<article><p>{PROSE}</p>"
+    for odd in ("<p class=advert>Buy the thing that is for all of us.", "<p hidden>not shown", "<p style='display: none'>x", "<div><div class='comments'><p>" + PROSE + "</div></div>"):
+        assert he.main_text(f"{good}{odd}<p>{PROSE}") == f"{PROSE}\n{PROSE}"
+    assert he.main_text(f"<article><p>{PROSE} <span class=ad>Buy <span>now</span> or</span> late") == f"{PROSE} late"
+    assert he.main_text(f"{good}<p title=it's>{PROSE}<p data-a=\"x>y\" b='>'>{PROSE}") == f"{PROSE}\n{PROSE}\n{PROSE}"
+    for unclosed in ("<svg>", "<select><option>", "<button>", "<object>"):
+        assert he.main_text(f"{good}{unclosed}<p>{PROSE}").endswith(PROSE) and he.main_text(f"{good}{unclosed}<p>{PROSE}").count(PROSE) == 2
+    assert he.main_text(f"<div><p>{PROSE}</p></div><a href=x><div>One of the menu lines</div><div>Another of the lines</div></a>") == PROSE
+    assert he.main_text("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> here") == "Let x=1 here"
+    russian = "Это было давно и не здесь, но он не знал, что так будет для всех, и у него было много времени."
+    assert he.main_text(f"<div class=menu>{russian}</div><div><p>{russian}</p></div>") == russian
+    japanese = "これは長い文章です。" * 30
+    assert he.main_text(f"<div>メニュー</div><div><p>{japanese}</p></div><ul><li><a>リンク</a></ul>").endswith(japanese)
+    assert he.main_text("<div>" * 100_000 + "x" + "</div>" * 100_000) == ""
+
+
+def brute_passes(found):
+    """Both passes block by block, each ambiguous block against all others."""
+    words = [[w for w in re.findall(r"[^\W\d_]+", b.text.lower())] for b in found]
+    every = [w for own in words for w in own]
+    known = sum(len(b.text) for b in found) < 200 or sum(w in he.STOP_WORDS for w in every) >= 0.02 * len(every)
+    scale = ["bad", "ambiguous", "good"]
+    labels = []
+    for b, own in zip(found, words, strict=True):
+        density = sum(w in he.STOP_WORDS for w in own) / max(1, len(own))
+        links = b.linked / len(b.text)
+        level = 0
+        if len(b.text) < 70:
+            level = 0 if links > 0 else 1
+        elif not known:
+            level = 2 if len(b.text) > 200 else 1
+        elif density >= 0.15:
+            level = 2 if density >= 0.3 or len(b.text) > 200 else 1
+        level = 0 if links > 0.2 else level
+        if b.hint > 0:
+            level = max(level, 1)
+        elif b.hint < 0 or any(x.hint > 0 for x in found):
+            level = max(0, level - 1)
+        labels.append("bad" if links > 0.5 or len(b.text) < 70 and b.text[0] == "©" else scale[level])
+    kept = []
+    for i, b in enumerate(found):
+        others = [(abs(i - j), found[j].region != b.region, labels[j] != "good") for j in range(len(found)) if labels[j] != "ambiguous" and found[j].section == b.section]
+        kept.append(labels[i] == "good" if labels[i] != "ambiguous" else not min(others)[2] if others else b.hint > 0)
+    return labels, kept
+
+
+def test_passes_against_brute_force_on_all_pages():
+    import pyarrow.parquet as pq
+
+    rng = random.Random(8)
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet", columns=["html"])["html"].to_pylist()
+    parts = [f"<p>{PROSE}</p>", "<p>short</p>", "<ul><li><a href=x>one link here</a><li>item</ul>", "<h2>Head</h2>", f"<div class=sidebar><p>{PROSE}</p></div>", f"<article><p>{PROSE}<p>more</article>", "<p>© x</p>", "<div>", "</div>", "<p>" + "zxq vbn " * 30, "<article><h3>See</h3><ul><li><a href=x>one link here</a></ul></article>"]
+    pages += ["".join(rng.choices(parts, k=rng.randint(1, 14))) for _ in range(800)]
+    seen = set()
+    for page in pages:
+        found = he.blocks(page)
+        labels = he.first_pass(found)
+        kept = he.second_pass(found, labels)
+        assert (labels, kept) == brute_passes(found)
+        seen |= {(b.hint, label, good) for b, label, good in zip(found, labels, kept, strict=True)}
+    assert {(h, "ambiguous", good) for h in (0, 1) for good in (True, False)} <= seen and (-1, "ambiguous", False) in seen
+    assert {(1, "bad", False), (1, "good", True), (0, "bad", False), (0, "good", True)} <= seen
+
+
 def test_extract_edges(spark):
     rows = [(1, "u", f"<article><p>{PROSE}</article>", "t", 5), (None, None, None, None, None), (1, "u", f"<article><p>{PROSE}</article>", "t", 5)]
     got = he.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int")).collect()
