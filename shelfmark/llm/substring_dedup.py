@@ -1,8 +1,8 @@
 """Substring dedup: content-defined chunks by a gear rolling hash, deduplicated by digest.
 
 A cut depends on the bytes near it alone, so an insertion moves cuts nearby and no others, and a passage that
-two texts share is cut alike in both. The document with the smallest id keeps a chunk; in the others, runs of such chunks are
-extended byte by byte against that document's text and go if they are long enough.
+two texts share is cut alike in both. The document with the smallest id owns a chunk. In the others, chunks that lie in their owner as
+they lie here are matched on byte by byte, through chunks that another document owns, and what is long enough in one owner goes.
 """
 
 from __future__ import annotations
@@ -25,14 +25,16 @@ from .common import documents, slices, text_buffer, written
 WINDOW, SPAN, DEEP, STRIDE, MOST = 8, 14, 16, 40, 160
 #: Runs are extended by at most so many bytes: more than lie between an end of a shared passage and its first cut, but for very long words.
 REACH = 256
-#: So many chunks at each end of a run are extended against their owners, as neighbours may have different ones.
-ENDS = 4
-#: Runs of repeated chunks with fewer words stay.
+#: Matches of fewer words stay.
 RUN_WORDS = 20
 #: A character of a script without spaces counts as a word, and so do LETTERS characters of a longer word.
 LETTERS = 20
 #: Texts are exchanged only if their document's hash is in a table of so many places.
 PLACES = 1 << 20
+#: A key with more rows than this, and than a share of MOST_HOT of all, is joined in parts; so at most MOST_HOT such keys are broadcast.
+HOT, MOST_HOT = 4096, 4096
+#: Documents without an id count as larger than all ids under this.
+NO_ID = 1 << 62
 
 _UNSPACED = re.compile("[฀-໿က-႟ក-៿぀-ヿ㐀-鿿豈-﫿\U00020000-\U0003ffff]")
 _GEAR = np.array([xxhash.xxh3_64_intdigest(bytes([b]), 11) & 0xFFFFFFFF for b in range(256)], np.uint32)
@@ -132,65 +134,98 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def matches(chunks: list[dict], least: int) -> list[tuple]:
+    """What must be asked of the owners: start, length, digest, digest_length, owner, place, left, right; for each, bytes beside it are needed.
+
+    Chunks that follow each other here and in their owner are one segment. Segments of one owner and one distance go together if the
+    bytes between them may be the same; they are left out if with all that may be matched on they have fewer than ``least`` words.
+    """
+    least = min(least, 127)  # the bounds end there
+    rows = []
+    runs: list[list[tuple]] = []
+    for c in sorted({(c["place"] >> 16, c["length"], c["most"], c["place"], c["digest"], c["owner"], c["owner_place"]) for c in chunks}):
+        if runs and c[0] == runs[-1][-1][0] + runs[-1][-1][1]:
+            runs[-1].append(c)
+        else:
+            runs.append([c])
+    for run in runs:
+        low, high = run[0][0], run[-1][0] + run[-1][1]
+        before = [0]  # bounds of the words in the run's chunks before each
+        for c in run:
+            before.append(before[-1] + (c[2] >> 15 & 255))
+        lanes: dict[tuple[int, int], list[int]] = {}
+        for k, c in enumerate(run):
+            lanes.setdefault((c[5], (c[6] >> 16) - c[0]), []).append(k)
+        for (owner, distance), lane in lanes.items():
+            segments: list[list[int]] = []  # first and last chunk
+            for k in lane:
+                if segments and segments[-1][1] == k - 1:
+                    segments[-1][1] = k
+                else:
+                    segments.append([k, k])
+            # Unless the bytes beside a chunk may be the owner's, less than WINDOW of them are.
+            left = [(run[a][3] ^ run[a][6]) & 0xFF00 == 0 for a, _ in segments]
+            right = [(run[b][3] ^ run[b][6]) & 0xFF == 0 for _, b in segments]
+            chains = [[0]]
+            for k in range(1, len(segments)):
+                if right[k - 1] and left[k]:
+                    chains[-1].append(k)
+                else:
+                    chains.append([k])
+            for chain in chains:
+                (a, _), (_, b) = segments[chain[0]], segments[chain[-1]]
+                bound = before[b + 1] - before[a]
+                bound += before[a] + (run[0][2] >> 23 & 127) if left[chain[0]] else run[a][2] >> 4 & 15
+                bound += before[-1] - before[b + 1] + (run[-1][2] >> 8 & 127) if right[chain[-1]] else run[b][2] & 15
+                if bound < least:
+                    continue
+                for k in chain:
+                    a, b = segments[k]
+                    start, end = run[a][0], run[b][0] + run[b][1]
+                    reach_left = 0 if k != chain[0] else start - low + REACH if left[k] else WINDOW
+                    reach_right = run[segments[k + 1][0]][0] - end if k != chain[-1] else high - end + REACH if right[k] else WINDOW
+                    rows.append((start, end - start, run[a][4], run[a][1], owner, start + distance, reach_left, reach_right))
+    return rows
+
+
+_ASKED = "doc long, row_key long, start int, length int, digest long, digest_length int, owner long, place int, reach_left int, reach_right int"
+
+
 def _runs(least: int):
-    """doc, row_key, chunks -> the chunks of the runs that can have ``least`` words once extended; ``side``: to extend left (1), right (2), both (3)."""
+    """doc, row_key, chunks -> what :func:`matches` asks."""
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc", "row_key", "start", "length", "digest", "owner", "place", "side", "reach_left", "reach_right"]
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
+        names = [part.split()[0] for part in _ASKED.split(", ")]
+        kinds = [pa.int64() if part.endswith("long") else pa.int32() for part in _ASKED.split(", ")]
         for batch in batches:
             rows = []
             for doc, row_key, chunks in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                found: list[list[tuple]] = []
-                for c in sorted({(c["place"] >> 16, c["length"], c["most"], c["place"], c["digest"], c["owner"], c["owner_place"]) for c in chunks}):
-                    if found and c[0] == found[-1][-1][0] + found[-1][-1][1]:
-                        found[-1].append(c)
-                    else:
-                        found.append([c])
-                # Runs that may meet once they are extended count together.
-                near: list[list[tuple]] = []
-                for run in found:
-                    # Unless the bytes beside a chunk may be the owner's, it is extended by less than WINDOW bytes.
-                    left = any((c[3] ^ c[6]) & 0xFF00 == 0 for c in run[:ENDS])
-                    right = any((c[3] ^ c[6]) & 0xFF == 0 for c in run[-ENDS:])
-                    low, high = run[0][0] - (REACH if left else WINDOW), run[-1][0] + run[-1][1] + (REACH if right else WINDOW)
-                    bound = run[0][2] >> (23 if left else 4) & (127 if left else 15)
-                    bound += sum(c[2] >> 15 & 255 for c in run) + (run[-1][2] >> (8 if right else 0) & (127 if right else 15))
-                    if near and low <= near[-1][-1][1]:
-                        near[-1].append((run, high, bound))
-                    else:
-                        near.append([(run, high, bound)])
-                for group in near:
-                    if sum(bound for _, _, bound in group) < min(least, 127):
-                        continue
-                    for run, _, _ in group:
-                        low, high = run[0][0], run[-1][0] + run[-1][1]
-                        for k, (start, length, _, _, digest, owner, place) in enumerate(run):
-                            beside = run[k][3] ^ place
-                            left, right = (start - low + REACH if beside & 0xFF00 == 0 else WINDOW), (high - start - length + REACH if beside & 0xFF == 0 else WINDOW)
-                            side = (k < ENDS and left > start - low) + 2 * (k >= len(run) - ENDS and right > high - start - length)
-                            rows.append((doc, row_key, start, length, digest, owner, place >> 16, side, left, right))
+                rows += [(doc, row_key, *row) for row in matches(chunks, least)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     return runs
 
 
+_SPANS = "doc long, row_key long, start int, length int, owner long, place int, left binary, right binary"
+
+
 def _beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """An owner's text and the chunks asked of it -> the bytes beside each chunk there."""
+    """An owner's text and the segments asked of it -> the bytes beside each segment there."""
+    names = [part.split()[0] for part in _SPANS.split(", ")]
+    kinds = [{"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[part.split()[1]] for part in _SPANS.split(", ")]
     for batch in slices(batches, "text", 8 << 20):
         offsets, data = text_buffer(batch.column(0))
         whole = memoryview(data.tobytes())
         rows = []
-        for k, (doc, row_key, start, length, digest, place, side, left, right) in enumerate(zip(*(batch.column(j).to_pylist() for j in range(1, 10)), strict=True)):
+        for k, (doc, row_key, start, length, digest, size, owner, place, left, right) in enumerate(zip(*(batch.column(j).to_pylist() for j in range(1, 11)), strict=True)):
             low, high = int(offsets[k]), int(offsets[k + 1])
             a, b = low + place, low + place + length
-            if b > high or xxhash.xxh3_64_intdigest(whole[a:b]) != digest % (1 << 64):
+            if place < 0 or b > high or xxhash.xxh3_64_intdigest(whole[a : a + size]) != digest % (1 << 64):
                 continue  # another row of the owner's id
-            rows.append((doc, row_key, start, length, bytes(whole[max(low, a - left) : a]) if side & 1 else b"", bytes(whole[b : min(high, b + right)]) if side & 2 else b""))
+            rows.append((doc, row_key, start, length, owner, place, bytes(whole[max(low, a - left) : a]), bytes(whole[b : min(high, b + right)])))
         if rows:
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc", "row_key", "start", "length", "left", "right"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
 
 def _common(a: bytes, b: bytes) -> int:
@@ -222,29 +257,34 @@ def _whole_words(data: bytes, start: int, end: int) -> tuple[int, int]:
 
 
 def cut_runs(text: str, spans: list[dict], least: int) -> tuple[str, list[dict]]:
-    """The text without its runs of repeated chunks that have ``least`` words or more, and those runs in code points.
+    """The text without what it shares with one owner over ``least`` words or more, and those spans in code points, each inside one owner's text.
 
-    ``spans``: start and length of a chunk, with the owner's bytes to its left and right where it is to be extended.
+    ``spans``: start and length of a segment, its owner, its place there, and the owner's bytes to its left and right.
     """
     data = text.encode()
-    found = []
+    lanes: dict[tuple[int, int], list[tuple[int, int]]] = {}
     for s in spans:
         start, end = s["start"], s["start"] + s["length"]
-        left, right = s.get("left") or b"", s.get("right") or b""
-        found.append((start - _common(data[max(0, start - len(left)) : start][::-1], left[::-1]), end + _common(data[end : end + len(right)], right)))
-    runs: list[list[int]] = []
-    for start, end in sorted(set(found)):
-        if runs and runs[-1][1] >= start:
-            runs[-1][1] = max(runs[-1][1], end)
-        else:
-            runs.append([start, end])
+        begin = start - _common(data[max(0, start - len(s["left"])) : start][::-1], s["left"][::-1])
+        lanes.setdefault((s["owner"], s["place"] - start), []).append((begin, end + _common(data[end : end + len(s["right"])], s["right"])))
+    found = []
+    for lane in lanes.values():
+        runs: list[list[int]] = []
+        for start, end in sorted(lane):
+            if runs and runs[-1][1] >= start:
+                runs[-1][1] = max(runs[-1][1], end)
+            else:
+                runs.append([start, end])
+        for start, end in runs:
+            start, end = _whole_words(data, start, end)
+            if words(data[start:end].decode()) >= least:
+                found.append((start, end))
     kept, gone, at, chars = [], [], 0, 0
-    for start, end in runs:
-        start, end = _whole_words(data, start, end)
-        run = data[start:end]
-        if words(run.decode()) < least:
+    for start, end in sorted(set(found)):
+        start = max(start, at)
+        if start >= end:
             continue
-        before, inside = data[at:start].decode(), run.decode()
+        before, inside = data[at:start].decode(), data[start:end].decode()
         kept.append(before)
         gone.append({"start": chars + len(before), "length": len(inside)})
         chars += len(before) + len(inside)
@@ -271,35 +311,49 @@ def _among(docs: DataFrame, ids: DataFrame, inside: bool = True) -> DataFrame:
     return docs.withColumn("_at", place("_doc")).mapInArrow(some, docs.schema)
 
 
+def _spread(rows: DataFrame, known: DataFrame, key: str, counts: DataFrame) -> DataFrame:
+    """``rows`` (with row_key) joined with ``known`` by ``key``; ``counts``: key and n, its rows. A key with a large share of all rows is joined in parts."""
+    total, most = counts.agg(F.sum("n"), F.max("n")).first()
+    share = max(HOT, (total or 0) // MOST_HOT)
+    if (most or 0) <= share:
+        return rows.join(known, key)
+    hot = F.broadcast(counts.where(F.col("n") > share).select(key, F.ceil(F.col("n") / share).cast("int").alias("_parts")))
+    parts = F.coalesce("_parts", F.lit(1))
+    dealt = rows.join(hot, key, "left").withColumn("_salt", F.pmod("row_key", parts).cast("int")).drop("_parts")
+    copies = known.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    return dealt.join(copies, [key, "_salt"]).drop("_salt")
+
+
 def dedup_substrings(docs: DataFrame, least: int = RUN_WORDS) -> DataFrame:
     """``docs`` (doc_id, text and any other columns) with ``text`` shortened and ``removed_spans`` (start and length in code points of the input text).
 
-    A chunk stays in the document with the smallest doc_id that holds it, everywhere there; in the others, runs of such chunks
-    go if they have ``least`` words or more once extended to whole words that the owner's text has there too. So texts are compared between documents only: what a
-    document repeats inside itself stays.
-    One row per input row; a text that is all repeated becomes empty. Null text: stays null, no spans. Null doc_id: counts as
-    the largest id; rows with one doc_id are one document. A column ``removed_spans`` of the input is replaced. Empty table: no rows.
+    A chunk stays in the document with the smallest doc_id that holds it, everywhere there; in the others, what such a document holds too
+    goes if it is of ``least`` words or more, to whole words. So each removed span stands in one document with a smaller id. Texts are compared
+    between documents only: what a document repeats inside itself stays.
+    One row per input row; a text that is all repeated becomes empty. Null text: stays null, no spans. Null doc_id: each text is a document of its
+    own, larger than all ids under 2^62 and in the order of a hash. Rows with one doc_id are one document. A column ``removed_spans`` of the
+    input is replaced. Empty table: no rows.
     """
     docs = docs.drop("removed_spans")
-    keyed = docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))).withColumn("_key", F.xxhash64("text"))
-    texts = keyed.where("length(text) > 0")
+    row_key = F.xxhash64("text")
+    keyed = docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), row_key.bitwiseAND(NO_ID - 1) + F.lit(NO_ID))).withColumn("_key", row_key)
+    texts = keyed.where("length(text) > 0").select("_doc", "_key", "text")
+    # Rows that repeat id and text are cut and asked once.
+    repeated = texts.groupBy("_doc", "_key").agg(F.count("*").alias("n")).where("n > 1").select("_doc")
+    if not repeated.isEmpty():
+        texts = _among(texts, repeated, inside=False).unionAll(_among(texts, repeated).dropDuplicates(["_doc", "_key"]))
     chunks = texts.select(F.col("_doc").alias("doc"), F.col("_key").alias("row_key"), "text").mapInArrow(_chunks, "digest long, doc long, row_key long, place long, length int, most int")
-    shared = chunks.groupBy("digest").agg(F.min("doc").alias("owner"), F.max("doc").alias("last"), F.min_by("place", "doc").alias("owner_place")).where("owner < last").select("digest", "owner", "owner_place")
-    repeated = chunks.join(shared, "digest").where("doc > owner")
+    owned = chunks.groupBy("digest").agg(F.min("doc").alias("owner"), F.max("doc").alias("last"), F.min_by("place", "doc").alias("owner_place"), F.count("*").alias("n"))
+    shared = written(owned.where("owner < last").select("digest", "owner", "owner_place", "n"), "shared")
+    held = _spread(chunks, shared.select("digest", "owner", "owner_place"), "digest", shared.select("digest", "n")).where("doc > owner")
     # The chunks of one row: no more than its own.
-    held = repeated.groupBy("doc", "row_key").agg(F.collect_list(F.struct("place", "length", "most", "digest", "owner", "owner_place")).alias("chunks"))
-    runs = written(held.mapInArrow(_runs(least), "doc long, row_key long, start int, length int, digest long, owner long, place int, side int, reach_left int, reach_right int"), "runs")
-    asked = runs.where("side > 0")
-    owners = _among(texts.select("_doc", "text"), asked.select("owner"))
-    beside = (
-        asked.join(owners, asked["owner"] == owners["_doc"])
-        .select("text", "doc", "row_key", "start", "length", "digest", "place", "side", "reach_left", "reach_right")
-        .mapInArrow(_beside, "doc long, row_key long, start int, length int, left binary, right binary")
-    )
-    nothing = F.lit(None).cast("binary")
-    every = runs.select("doc", "row_key", "start", "length", nothing.alias("left"), nothing.alias("right")).unionAll(beside)
-    spans = every.groupBy("doc", "row_key").agg(F.collect_list(F.struct("start", "length", "left", "right")).alias("_spans"))
-    marked = _among(keyed, runs.select("doc")).join(spans, (F.col("_doc") == F.col("doc")) & (F.col("_key") == F.col("row_key")), "left").select(*docs.columns, "_spans")
+    held = held.groupBy("doc", "row_key").agg(F.collect_list(F.struct("place", "length", "most", "digest", "owner", "owner_place")).alias("chunks"))
+    asked = written(held.mapInArrow(_runs(least), _ASKED), "asked")
+    owners = _among(texts, asked.select("owner")).select(F.col("_doc").alias("owner"), "text")
+    beside = _spread(asked, owners, "owner", asked.groupBy("owner").agg(F.count("*").alias("n")))
+    beside = beside.select("text", *asked.columns).mapInArrow(_beside, _SPANS)
+    spans = beside.groupBy("doc", "row_key").agg(F.collect_list(F.struct("start", "length", "owner", "place", "left", "right")).alias("_spans"))
+    marked = _among(keyed, asked.select("doc")).join(spans, (F.col("_doc") == F.col("doc")) & (F.col("_key") == F.col("row_key")), "left").select(*docs.columns, "_spans")
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("length", T.LongType())])
     schema = T.StructType([*docs.schema.fields, T.StructField("removed_spans", T.ArrayType(span))])
     text_at, kind = docs.columns.index("text"), pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
@@ -317,7 +371,7 @@ def dedup_substrings(docs: DataFrame, least: int = RUN_WORDS) -> DataFrame:
             columns = [texts if k == text_at else batch.column(k) for k in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(gone, kind)], [*batch.schema.names[:-1], "removed_spans"])
 
-    whole = _among(keyed, runs.select("doc"), inside=False).select(*docs.columns)
+    whole = _among(keyed, asked.select("doc"), inside=False).select(*docs.columns)
     none = F.array().cast(T.ArrayType(span))
     return marked.mapInArrow(cut, schema).unionByName(whole.withColumn("removed_spans", none))
 

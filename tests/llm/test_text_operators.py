@@ -277,5 +277,54 @@ def test_every_shared_passage_goes_whole(spark):
         assert passage.strip() in gone and len(gone) <= len(passage) + 30
 
 
+def test_removed_spans_stand_in_one_earlier_document(spark, monkeypatch):
+    """Against brute force: every removed span is inside one document with a smaller id; every match of that many words that ends at words is removed."""
+    monkeypatch.setattr(sd, "HOT", 8)  # common chunks and owners are joined in parts
+    rng = random.Random(21)
+    words = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 7))) for _ in range(300)]
+    prose = lambda n: " ".join(rng.choices(words, k=n))
+    passages = [prose(rng.choice([26, 40, 90])) for _ in range(25)]
+    rows = []
+    for k in range(220):
+        parts = [prose(rng.randint(5, 60)) for _ in range(rng.randint(1, 4))]
+        for _ in range(rng.randint(0, 3)):  # also side by side, and parts of a passage
+            parts.insert(rng.randint(0, len(parts)), rng.choice(passages) if rng.random() < 0.8 else " ".join(rng.choice(passages).split()[5:30]))
+        rows.append((k, " ".join(parts)))
+    got = {r["doc_id"]: r for r in sd.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    shared, caught = 0, 0
+    for k, text in rows:
+        spans = got[k]["removed_spans"]
+        left, at = [], 0
+        gone = set()
+        for s in spans:
+            part = text[s["start"] : s["start"] + s["length"]]
+            assert any(part in other for _, other in rows[:k])
+            left.append(text[at : s["start"]])
+            at = s["start"] + s["length"]
+            gone |= set(range(s["start"], at))
+        assert "".join(left) + text[at:] == got[k]["text"]
+        own, begin = text.split(" "), 0
+        for a in range(len(own) - 25):
+            window = " ".join(own[a : a + 26])
+            if any(window in other for _, other in rows[:k]):
+                shared += 1
+                caught += len(gone & set(range(begin, begin + len(window)))) >= 0.9 * len(window)
+            begin += len(own[a]) + 1
+    assert shared > 500 and caught >= 0.95 * shared
+
+
+def test_repeated_rows_and_rows_without_ids(spark):
+    rng = random.Random(22)
+    prose = lambda n: " ".join("".join(rng.choices("abcdefghij", k=rng.randint(2, 7))) for _ in range(n))
+    shared = prose(60)
+    rows = [(1, f"{prose(1000)} {shared}")] * 1500 + [(2, f"{shared} {prose(1000)}")] * 1500 + [(None, f"{prose(30)} {shared}") for _ in range(3)]
+    got = sd.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).groupBy("doc_id", "text").count().collect()
+    by = {r["doc_id"]: (r["text"], r["count"]) for r in got if r["doc_id"]}
+    assert by[1] == (rows[0][1], 1500) and by[2][1] == 1500 and shared not in by[2][0] and len(by[2][0]) > 3000
+    assert all(len(r["text"]) < 0.6 * len(shared) + 200 and shared not in r["text"] for r in got if r["doc_id"] is None)
+    alone = sd.dedup_substrings(spark.createDataFrame(rows[-3:], "doc_id long, text string")).collect()
+    assert sorted(shared in r["text"] for r in alone) == [False, False, True]
+
+
 def test_words_of_texts_without_spaces():
     assert sd.words("one two\tthree") == 3 and sd.words("一二三四五 two") == 6 and sd.words("z" * 400) == 20
