@@ -50,8 +50,12 @@ def present(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
 
+#: Unicode's white space.
+_WHITE = "\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^\s+|(?U)\s+\z", "")
+    return F.btrim(text, F.lit(_WHITE))
 
 
 def extract(text: Column, pattern: str, group: int = 1) -> Column:
@@ -188,7 +192,7 @@ def embedded_author(title: Column, author: Column) -> tuple[Column, Column]:
 
 
 def one_line(text: Column) -> Column:
-    return F.regexp_replace(strip(text), r"(?U)\s+", " ")
+    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
 def modern_cyrillic(text: Column) -> Column:
@@ -196,11 +200,15 @@ def modern_cyrillic(text: Column) -> Column:
     return F.regexp_replace(F.translate(text, *OLD_LETTERS), r"(?U)[Ъъ]\b", "")
 
 
+def sentences(text: Column) -> Column:
+    """Sentences in order, each without spaces around its body; text after the last terminator goes. One split, so linear in the text."""
+    parts = F.filter(F.split(one_line(text), r"(?<=[.!?])"), lambda p: F.right(p, F.lit(1)).isin(".", "!", "?"))
+    return F.transform(parts, lambda p: F.concat(F.trim(F.left(p, F.length(p) - 1)), F.right(p, F.lit(1))))
+
+
 def clean_annotation(text: Column) -> Column:
-    """Distinct sentences in order; text after the last terminator goes. Null and empty: "unknown"."""
-    sentences = F.regexp_extract_all(one_line(text), F.lit(r"([^.!?]*[.!?])"), F.lit(1))
-    closed = F.transform(sentences, lambda s: F.concat(strip(F.left(s, F.length(s) - 1)), F.right(s, F.lit(1))))
-    return F.when(present(text) == "", UNKNOWN).otherwise(F.array_join(F.array_distinct(closed), " "))
+    """Distinct sentences in order. Null and empty: "unknown"."""
+    return F.when(present(text) == "", UNKNOWN).otherwise(F.array_join(F.array_distinct(sentences(text)), " "))
 
 
 def normalize_code(code: Column) -> Column:

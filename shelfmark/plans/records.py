@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 
-REPLY = "title string, author string, publisher string, year string, isbn string, udk string, bbk string, annotation string, _corrupt string"
+REPLY = "title string, author string, publisher string, year variant, isbn string, udk string, bbk string, annotation string, _corrupt string"
 
 
 def with_entries(df: DataFrame, text: str = "text") -> DataFrame:
@@ -64,11 +64,42 @@ def records(df: DataFrame, key: str = "doc_id", text: str = "text", reply: str =
     found = hints(df.select(key, text, reply), text).withColumn("_reply", F.from_json(t.extract_json(F.col(reply)), REPLY, {"columnNameOfCorruptRecord": "_corrupt"}))
     usable = F.col("_reply").isNotNull() & F.col("_reply._corrupt").isNull()
     columns: dict[str, Column] = {c: F.when(usable, F.col(f"_reply.{c}")).otherwise(F.lit("") if c == "annotation" else F.col(f"hint_{c}").cast("string")) for c in FIELDS}
-    columns["year"] = columns["year"].try_cast("int")
+    # A year counts only as a JSON integer; true and false count as 1 and 0, as integers do where replies are read.
+    kind, year = F.schema_of_variant("_reply.year"), F.col("_reply.year")
+    whole = F.when(kind == "BIGINT", F.try_variant_get(year, "$", "int")).when(kind == "BOOLEAN", F.try_variant_get(year, "$", "boolean").cast("int"))
+    columns["year"] = F.when(usable, whole).otherwise(F.col("hint_year"))
     found = found.withColumns({**columns, "source": F.when(usable, "reply").otherwise("patterns")})
     return normalised(found).select(key, *FIELDS, "source")
 
 
+def cover_records(df: DataFrame, key: str = "doc_id", reply: str = "reply") -> DataFrame:
+    """title and author per row from the model's reply about a cover; both "unknown" where it has no well-formed object."""
+    parsed = df.select(key, F.from_json(t.extract_json(F.col(reply)), "title string, author string, _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"}).alias("_reply"))
+    usable = F.col("_reply").isNotNull() & F.col("_reply._corrupt").isNull()
+    found = parsed.select(key, *(F.when(usable, F.col(f"_reply.{c}")).otherwise(t.UNKNOWN).alias(c) for c in ("title", "author")))
+    rest = {c: F.lit(0) if c == "year" else F.lit(t.UNKNOWN) for c in FIELDS if c not in ("title", "author")}
+    return normalised(found.withColumns({**rest, **{f"hint_{c}": F.lit(t.UNKNOWN) for c in ("isbn", "udk", "bbk")}})).select(key, "title", "author")
+
+
+def layout_records(primary: DataFrame, key: str, reply: str = "reply", english: str = "eng") -> DataFrame:
+    """Records of the layout-aware way from ``primary`` (key, text, eng, reply): patterns of the older kind complete the reply, and without one there is no row."""
+    body = F.col("text")
+    parsed = primary.withColumn("_reply", F.from_json(t.extract_json(F.col(reply)), REPLY, {"columnNameOfCorruptRecord": "_corrupt"})).where("_reply IS NOT NULL AND _reply._corrupt IS NULL")
+    hint = {"isbn": t.extract_isbn_legacy(F.coalesce(F.nullif(english, F.lit("")), body)), "udk": t.extract_udk_legacy(body), "bbk": t.extract_bbk_legacy(body)}
+    given = {c: F.nullif(F.col(f"_reply.{c}"), F.lit("")) for c in FIELDS if c != "year"}
+    whole = F.when(F.schema_of_variant("_reply.year") == "BIGINT", F.try_variant_get("_reply.year", "$", "int"))
+    title, author = t.embedded_author(t.clean_title(t.reject_garbage(given["title"])), given["author"])
+    fields = {c: t.one_line(v) for c, v in {**given, "title": title, "author": author}.items()}
+    return parsed.select(
+        key,
+        *(t.or_unknown(fields[c]).alias(c) for c in ("title", "author", "publisher")),
+        F.coalesce(whole, F.lit(0)).alias("year"),
+        F.coalesce(fields["isbn"], hint["isbn"]).alias("isbn"),
+        *(t.normalize_code(F.coalesce(fields[c], hint[c])).alias(c) for c in ("udk", "bbk")),
+        t.clean_annotation(t.or_unknown(fields["annotation"])).alias("annotation"),
+    )
+
+
 PROMPT = """Fill in the record of the book whose pages are read below. Answer with one JSON object.
 Fields: title, author, publisher, year, isbn, udk, bbk, annotation. Use "unknown" for what the text does not say.
 Found by patterns: author %s; ISBN %s; UDK %s; BBK %s.

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 PENDING, SENT, PROCESSED = "PENDING", "SENT", "PROCESSED"
 
@@ -23,11 +25,21 @@ def advanced(events: DataFrame, key: str, event: str) -> DataFrame:
     return events.groupBy(key).agg(state.alias("state"), F.count("*").alias("n_events"), F.count_if(F.col(event) == "error").alias("n_errors"))
 
 
-def stream_of(spark: SparkSession, path: str, schema: str, files_per_batch: int = 8) -> DataFrame:
+def stream_of(spark: SparkSession, path: str, schema: str | StructType, files_per_batch: int = 8) -> DataFrame:
     """Files landing in a folder, a bounded number each micro-batch: backpressure instead of a rejecting queue."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder of ``spark.checkpoint.dir``; where it is unset, a folder of this machine, and that only if the master is local."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return tempfile.mkdtemp(prefix="shelfmark-")
+
+
 def run_to_end(df: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
     """Process all that is there into the in-memory table ``name`` and give it: for tests and small states."""
     query = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -40,10 +39,8 @@ def _(spark, d):
 
 @query("distinct_sentences", f"WITH e AS (SELECT doc_id, unnest({_SENTENCES}) AS x FROM documents) SELECT d.doc_id, count(DISTINCT x) AS n FROM documents d LEFT JOIN e ON e.doc_id = d.doc_id GROUP BY 1")
 def _(spark, d):
-    ends = F.regexp_count(t.one_line(F.col("text")), F.lit("[.!?]"))
-    sentences = F.regexp_extract_all(t.one_line(F.col("text")), F.lit(r"([^.!?]*[.!?])"), F.lit(1))
-    closed = F.transform(sentences, lambda x: F.concat(t.strip(F.left(x, F.length(x) - 1)), F.right(x, F.lit(1))))
-    return s.table(spark, d, "documents").select("doc_id", F.when(ends > 0, F.size(F.array_distinct(closed))).otherwise(0).cast("long").alias("n"))
+    found = F.size(F.array_distinct(t.sentences(F.col("text"))))
+    return s.table(spark, d, "documents").select("doc_id", F.greatest(found, F.lit(0)).cast("long").alias("n"))
 
 
 _LOOKS = "translate(lower({0}), 'abcehkmoptxy', 'авсенкмортху')"
@@ -209,7 +206,7 @@ def _(spark, d):
     return r.regex_records(s.cards(spark, d))
 
 
-_REPLY = """CASE p_partkey % 4 WHEN 0 THEN '```json' || chr(10) || '{"title": "Reply ' || p_size || '", "author": "Kim A.", "year": 1990}' || chr(10) || '```' WHEN 1 THEN 'no object' WHEN 2 THEN '{"title": "Cut ' ELSE 'Here: {"title": "X : y", "author": null, "isbn": "0-306-40615-2", "annotation": "A. B! A. tail"} done' END"""
+_REPLY = """CASE p_partkey % 4 WHEN 0 THEN '```json' || chr(10) || '{"title": "Reply ' || p_size || '", "author": "Kim A.", "year": ' || CASE p_size % 3 WHEN 0 THEN '1990' WHEN 1 THEN '"1990"' ELSE '1990.5' END || '}' || chr(10) || '```' WHEN 1 THEN 'no object' WHEN 2 THEN '{"title": "Cut ' ELSE 'Here: {"title": "X : y", "author": null, "isbn": "0-306-40615-2", "annotation": "A. B! A. tail"} done' END"""
 
 
 @query("parse_reply_json", rf"WITH x AS (SELECT p_partkey, {_REPLY} AS x FROM part), j AS (SELECT p_partkey, nullif(regexp_extract(x, '(?s)(\{{.*\}})', 1), '') AS j FROM x) SELECT p_partkey, json_extract_string(j, '$.title') AS title, json_extract_string(j, '$.author') AS author, j IS NOT NULL AS found FROM j")
@@ -225,7 +222,7 @@ _REPLY_OF_CARD = _REPLY.replace("p_partkey", "doc_id").replace("p_size", "(doc_i
     "reply_or_regex",
     f"""WITH {_RECORDS} SELECT doc_id,
       CASE doc_id % 4 WHEN 0 THEN 'Reply ' || (doc_id % 9) WHEN 3 THEN 'X' ELSE title END AS title, CASE doc_id % 4 WHEN 0 THEN 'Kim A.' WHEN 3 THEN 'unknown' ELSE author END AS author,
-      CASE WHEN doc_id % 4 IN (0, 3) THEN 'unknown' ELSE publisher END AS publisher, CASE doc_id % 4 WHEN 0 THEN 1990 WHEN 3 THEN 0 ELSE year END AS year, CASE doc_id % 4 WHEN 3 THEN '0-306-40615-2' ELSE isbn END AS isbn,
+      CASE WHEN doc_id % 4 IN (0, 3) THEN 'unknown' ELSE publisher END AS publisher, CASE doc_id % 4 WHEN 0 THEN CASE WHEN doc_id % 9 % 3 = 0 THEN 1990 ELSE 0 END WHEN 3 THEN 0 ELSE year END AS year, CASE doc_id % 4 WHEN 3 THEN '0-306-40615-2' ELSE isbn END AS isbn,
       udk, bbk, CASE doc_id % 4 WHEN 3 THEN 'A. B!' ELSE '' END AS annotation, CASE WHEN doc_id % 4 IN (0, 3) THEN 'reply' ELSE 'patterns' END AS source FROM records""",
     "cards",
 )
@@ -426,7 +423,7 @@ def _(spark, d):
 @query("streamed_state", "SELECT user_id, last(event_type ORDER BY ts, event_id) AS event_type FROM events GROUP BY 1")
 def _(spark, d):
     """The latest state as a stream over the events' file, run to its end."""
-    folder = tempfile.mkdtemp() if not spark.conf.get("spark.checkpoint.dir", None) else spark.conf.get("spark.checkpoint.dir")
+    folder = st.checkpoint_folder(spark)
     # A file source reads folders, so a glob that matches the one file stands for the landing folder.
     stream = st.stream_of(spark, f"{d}/events.parque[t]", _EVENTS)
     name = f"states_{uuid.uuid4().hex}"

@@ -79,3 +79,51 @@ def test_geometry(spark):
     assert tuple(found.select(*c.warp_size(F.col("k"))).first()) == (10, 10)
     sizes = spark.range(1).select(*c.scaled(F.lit(100), F.lit(50), 200), *c.scaled(F.lit(100), F.lit(50), 200, enlarge=True))
     assert tuple(sizes.first()) == (100, 50, 200, 100)
+
+
+def test_ranks_come_in_even_ranges(spark):
+    """Names that all begin alike are ranked in ranges of about equal size."""
+    names = spark.range(20_000).select(F.concat(F.lit("Customer#"), F.lpad(F.col("id").cast("string"), 9, "0")).alias("name"), "id")
+    got = m.ranked(names, "name", "n")
+    assert got.where("n <> id + 1").isEmpty()
+    sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 20_000
+    plan = got._jdf.queryExecution().toString()
+    assert "_range" in plan
+    odd = spark.createDataFrame([("b",), (None,), ("a",), ("é",)], "name string")
+    assert {r["name"]: r["n"] for r in m.ranked(odd, "name", "n").collect()} == {None: 1, "a": 2, "b": 3, "é": 4}
+    assert m.ranked(odd.limit(0), "name", "n").collect() == []
+
+
+def test_long_texts_clean_up_in_linear_time(spark):
+    import time
+
+    from shelfmark.functions import text as t
+
+    long = "word " * 200_000
+    frame = spark.createDataFrame([(1, long), (2, "A b. " + long), (3, " " * 500_000 + "x. y"), (4, "a. " * 100_000)], "k int, x string")
+    frame.limit(0).select(t.clean_annotation(F.col("x")).alias("y")).collect()
+    start = time.time()
+    got = {r["k"]: r["y"] for r in frame.select("k", t.clean_annotation(F.col("x")).alias("y")).collect()}
+    assert got == {1: "", 2: "A b.", 3: "x.", 4: "a."} and time.time() - start < 20
+
+
+def test_requests_and_edits_by_hand(spark):
+    from shelfmark.plans import server as sv
+
+    images = spark.createDataFrame(
+        [(1, "COVER", 0, "first", "e0"), (1, "COVER", 3, "Cover", None), (1, "INFO_PAGE", 2, "two", "e2"), (1, "INFO_PAGE", 1, "one", "e1"), (1, "BACK", 4, None, "e4"), (2, "COVER", 0, " ", None), (3, "INFO_PAGE", 0, "x", "")],
+        "book_id long, type string, at int, text string, eng string",
+    )
+    got = {r["book_id"]: r for r in sv.readings(images).collect()}
+    assert got[1]["cover"] == "Cover" and got[1]["main"] == "=== INFO PAGE 1 ===\none\n=== INFO PAGE 2 ===\ntwo\n=== BACK COVER ===\n\n"
+    assert got[1]["eng"] == "=== COVER ===\n\n=== INFO PAGE 1 ===\ne1\n=== INFO PAGE 2 ===\ne2\n=== BACK COVER ===\ne4\n" and sorted(got) == [1, 3]
+    book = "id long, title string, isbn string, year int, udk string, bbk string, annotation string, publisher_id long"
+    books = spark.createDataFrame([(1, "a", "", None, "u", None, None, 7), (2, "b", "", None, "u", None, None, 7), (3, "c", "", 5, "u", None, None, None)], book)
+    edits = spark.createDataFrame([(1, "A", "X, Y", "New", 1, "i", "unknown", " "), (3, "C", "unknown", "New", None, "i", "", "b"), (9, "none", "Q", "Q", 1, "", "", "")], "id long, title string, author string, publisher string, year int, isbn string, udk string, bbk string")
+    publishers, authors = spark.createDataFrame([(7, "Old")], "id long, name string"), spark.createDataFrame([(4, "X")], "id long, name string")
+    links = spark.createDataFrame([(1, 4), (2, 4), (3, 4)], "book_id long, author_id long")
+    out = {k: sorted(map(tuple, v.collect()), key=repr) for k, v in sv.edited(books, edits, publishers, authors, links).items()}
+    assert out["publishers"] == [(7, "New"), (8, "New")] and out["authors"] == [(4, "X"), (5, "X"), (6, "Y")]
+    assert out["book_authors"] == [(1, 5), (1, 6), (2, 4)]
+    assert out["books"] == [(1, "A", 1, "i", None, None, 7), (2, "b", None, "", "u", None, 7), (3, "C", None, "i", None, "b", 8)]

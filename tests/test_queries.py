@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from shelfmark import catalogue_queries, text_queries  # noqa: F401
+from shelfmark import catalogue_queries, server_queries, text_queries  # noqa: F401
 
 DATA = os.environ.get("SHELFMARK_TESTDATA", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents pages conversations".split()

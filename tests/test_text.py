@@ -100,10 +100,13 @@ def test_entries(spark, entry, cases):
 
 def test_records_fall_back_and_merge(spark):
     rows = [(1, "Smith, John. Great Book. London: Penguin Press, 1999.", "broken {"), (2, "", '{"title": "A : b", "year": "1997"}'), (3, None, None)]
+    years = ["1997", "1997.0", "null", "true", "[1]", "-5", "99999999999"]
+    rows += [(10 + k, "", '{"year": ' + year + "}") for k, year in enumerate(years)]
     frame = spark.createDataFrame(rows, "doc_id int, text string, reply string")
     got = {row["doc_id"]: row for row in r.records(frame).collect()}
     assert (got[1]["title"], got[1]["year"], got[1]["source"]) == ("Great Book", 1999, "patterns")
-    assert (got[2]["title"], got[2]["year"], got[2]["source"]) == ("A", 1997, "reply")
+    assert (got[2]["title"], got[2]["year"], got[2]["source"]) == ("A", 0, "reply")  # a quoted year is no integer
+    assert [got[10 + k]["year"] for k in range(len(years))] == [1997, 0, 0, 1, 0, -5, 0]
     assert (got[3]["title"], got[3]["isbn"], got[3]["year"]) == ("unknown", "unknown", 0)
     info = spark.createDataFrame([(1, "unknown", "unknown", "unknown", "i", "u", "b", 0)], "doc_id int, title string, author string, publisher string, isbn string, udk string, bbk string, year int")
     cover = spark.createDataFrame([(1, "X", "unknown"), (2, "Y", "Z")], "doc_id int, title string, author string")
