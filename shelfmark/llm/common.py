@@ -15,15 +15,22 @@ from pyspark.sql import functions as F
 #: White space of the word contracts: space and U+0009 to U+000D.
 SPACES = r"[\x20\x09-\x0D]+"
 
+#: A key with more rows than this, and than a share of MOST_HOT of all, is joined in parts; so at most MOST_HOT such keys are broadcast.
+HOT, MOST_HOT = 4096, 4096
+#: Longer words are not kept in the workers' caches, so that those have a bound in bytes.
+LONG_WORD = 64
+
 _own_folder: list[str] = []
 _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's folder from ``spark.checkpoint.dir``; a folder of our own only where that is unset."""
+    """The cluster's folder from ``spark.checkpoint.dir``; a folder of our own only where that is unset and the master is local."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not _own_folder:
         _own_folder.append(tempfile.mkdtemp(prefix="shelfmark-"))
         spark.sparkContext.setCheckpointDir(_own_folder[0])
@@ -39,6 +46,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(rows: DataFrame, known: DataFrame, key: str, counts: DataFrame, salt: Column) -> DataFrame:
+    """``rows`` joined with ``known`` by ``key``; ``counts``: key and n, its rows. A key with a large share of all rows is joined in parts, by ``salt`` of the row."""
+    total, most = counts.agg(F.sum("n"), F.max("n")).first()
+    share = max(HOT, (total or 0) // MOST_HOT)
+    if (most or 0) <= share:
+        return rows.join(known, key)
+    hot = F.broadcast(counts.where(F.col("n") > share).select(key, F.ceil(F.col("n") / share).cast("int").alias("_parts")))
+    parts = F.coalesce("_parts", F.lit(1))
+    dealt = rows.withColumn("_salt", salt).join(hot, key, "left").withColumn("_salt", F.pmod("_salt", parts).cast("int")).drop("_parts")
+    copies = known.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    return dealt.join(copies, [key, "_salt"]).drop("_salt")
+
+
 @atexit.register
 def _remove_written() -> None:
     """Remove the intermediate tables when the driver ends."""

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, documents, written
+from .common import SPACES, documents, spread, written
 
 #: Bytes of strings that one trie holds before it spills (reduce side) or hands on what it has (map side).
 TRIE_BYTES = 96 << 20
@@ -84,30 +84,43 @@ class PatriciaTrie:
         node.count += count
 
     def strings(self, node: Node | None = None, prefix: bytes = b"") -> Iterator[tuple[bytes, int | None, int]]:
-        """Every string below a node, without recursion (a trie may be as deep as a text is long)."""
-        stack = [(node or self.root, prefix)]
+        """Every string below a node, without recursion (a trie may be as deep as a text is long). Siblings share their prefix until their turn comes."""
+        stack = [(node or self.root, prefix, b"")]
         while stack:
-            node, prefix = stack.pop()
+            node, prefix, label = stack.pop()
+            if label:
+                prefix += label
             if node.count:
                 yield prefix, node.owner, node.count
             for label, child in (node.edges or {}).values():
-                stack.append((child, prefix + label))
+                stack.append((child, prefix, label))
 
-    def cut_largest(self) -> tuple[bytes, list[tuple[bytes, int | None, int]]]:
-        """Remove the largest subtree below the root's first fork; returns its prefix and strings."""
+    @classmethod
+    def weigh(cls, label: bytes, node: Node) -> tuple[int, int]:
+        """Bytes that a subtree adds to ``size``, its own label included, and its terminals."""
+        stack, size, terminals = [(label, node)], 0, 0
+        while stack:
+            label, node = stack.pop()
+            size += len(label) + cls.NODE
+            terminals += node.count > 0
+            stack += (node.edges or {}).values()
+        return size, terminals
+
+    def cut_largest(self) -> tuple[bytes, Iterator[tuple[bytes, int | None, int]]]:
+        """Remove the largest subtree below the root's first fork; returns its prefix and its strings, one at a time."""
         node, prefix = self.root, b""
         while len(node.edges) == 1 and not node.count:
             label, child = next(iter(node.edges.values()))
             if not child.edges:
                 break
             node, prefix = child, prefix + label
-        weights = {first: sum(len(s) + self.NODE for s, _, _ in self.strings(child, label)) for first, (label, child) in node.edges.items()}
+        weights = {first: self.weigh(*edge) for first, edge in node.edges.items()}
         first = max(weights, key=weights.get)
         label, child = node.edges.pop(first)
-        self.size -= min(self.size, weights[first])
-        strings = list(self.strings(child, prefix + label))
-        self.terminals -= len(strings)
-        return prefix + label, strings
+        size, terminals = weights[first]
+        self.size -= size
+        self.terminals -= terminals
+        return prefix + label, self.strings(child, prefix + label)
 
 
 _PARTIAL = "digest binary, n_bytes long, owner long, n long, body binary"
@@ -209,7 +222,9 @@ def exact_dedup(docs: DataFrame, limit: int = TRIE_BYTES) -> DataFrame:
     """
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.sha2(F.encode(normalised(F.col("text")), "UTF-8"), 256).alias("text_sha256"))
     named = owners(docs, limit).select(F.lower(F.hex("digest")).alias("text_sha256"), F.col("owner").alias("keep_id"), F.col("n").alias("group_size"))
-    return rows.join(named, "text_sha256").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", "text_key")
+    # The owner of a group with a large share of all rows is joined in parts.
+    joined = spread(rows, named, "text_sha256", named.select("text_sha256", F.col("group_size").alias("n")), F.xxhash64("doc_id"))
+    return joined.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", "text_key")
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, slices, text_buffer, written
+from .common import documents, slices, spread, text_buffer, written
 
 #: The rolling hash sees WINDOW bytes (a power of two). Places for cuts are the beginnings of words, of characters of three bytes or more, and,
 #: DEEP bytes after the last white space, where the hash is least among five. A cut is the least of SPAN places in a row, so that
@@ -31,8 +31,6 @@ RUN_WORDS = 20
 LETTERS = 20
 #: Texts are exchanged only if their document's hash is in a table of so many places.
 PLACES = 1 << 20
-#: A key with more rows than this, and than a share of MOST_HOT of all, is joined in parts; so at most MOST_HOT such keys are broadcast.
-HOT, MOST_HOT = 4096, 4096
 #: Documents without an id count as larger than all ids under this.
 NO_ID = 1 << 62
 
@@ -311,19 +309,6 @@ def _among(docs: DataFrame, ids: DataFrame, inside: bool = True) -> DataFrame:
     return docs.withColumn("_at", place("_doc")).mapInArrow(some, docs.schema)
 
 
-def _spread(rows: DataFrame, known: DataFrame, key: str, counts: DataFrame) -> DataFrame:
-    """``rows`` (with row_key) joined with ``known`` by ``key``; ``counts``: key and n, its rows. A key with a large share of all rows is joined in parts."""
-    total, most = counts.agg(F.sum("n"), F.max("n")).first()
-    share = max(HOT, (total or 0) // MOST_HOT)
-    if (most or 0) <= share:
-        return rows.join(known, key)
-    hot = F.broadcast(counts.where(F.col("n") > share).select(key, F.ceil(F.col("n") / share).cast("int").alias("_parts")))
-    parts = F.coalesce("_parts", F.lit(1))
-    dealt = rows.join(hot, key, "left").withColumn("_salt", F.pmod("row_key", parts).cast("int")).drop("_parts")
-    copies = known.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
-    return dealt.join(copies, [key, "_salt"]).drop("_salt")
-
-
 def dedup_substrings(docs: DataFrame, least: int = RUN_WORDS) -> DataFrame:
     """``docs`` (doc_id, text and any other columns) with ``text`` shortened and ``removed_spans`` (start and length in code points of the input text).
 
@@ -345,12 +330,12 @@ def dedup_substrings(docs: DataFrame, least: int = RUN_WORDS) -> DataFrame:
     chunks = texts.select(F.col("_doc").alias("doc"), F.col("_key").alias("row_key"), "text").mapInArrow(_chunks, "digest long, doc long, row_key long, place long, length int, most int")
     owned = chunks.groupBy("digest").agg(F.min("doc").alias("owner"), F.max("doc").alias("last"), F.min_by("place", "doc").alias("owner_place"), F.count("*").alias("n"))
     shared = written(owned.where("owner < last").select("digest", "owner", "owner_place", "n"), "shared")
-    held = _spread(chunks, shared.select("digest", "owner", "owner_place"), "digest", shared.select("digest", "n")).where("doc > owner")
+    held = spread(chunks, shared.select("digest", "owner", "owner_place"), "digest", shared.select("digest", "n"), F.col("row_key")).where("doc > owner")
     # The chunks of one row: no more than its own.
     held = held.groupBy("doc", "row_key").agg(F.collect_list(F.struct("place", "length", "most", "digest", "owner", "owner_place")).alias("chunks"))
     asked = written(held.mapInArrow(_runs(least), _ASKED), "asked")
     owners = _among(texts, asked.select("owner")).select(F.col("_doc").alias("owner"), "text")
-    beside = _spread(asked, owners, "owner", asked.groupBy("owner").agg(F.count("*").alias("n")))
+    beside = spread(asked, owners, "owner", asked.groupBy("owner").agg(F.count("*").alias("n")), F.col("row_key"))
     beside = beside.select("text", *asked.columns).mapInArrow(_beside, _SPANS)
     spans = beside.groupBy("doc", "row_key").agg(F.collect_list(F.struct("start", "length", "owner", "place", "left", "right")).alias("_spans"))
     marked = _among(keyed, asked.select("doc")).join(spans, (F.col("_doc") == F.col("doc")) & (F.col("_key") == F.col("row_key")), "left").select(*docs.columns, "_spans")

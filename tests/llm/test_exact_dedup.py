@@ -42,3 +42,16 @@ def test_edge_cases_and_spill(spark):
 
 def test_empty_table(spark):
     assert ed.exact_dedup(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_a_spill_frees_what_it_counts_and_streams_its_strings():
+    trie = ed.PatriciaTrie()
+    families = [bytes([65 + f]) * 100_000 for f in range(2)]
+    for k in range(200):
+        for family in families:
+            trie.insert(family + str(k).encode(), k, 1)
+    before = trie.size
+    prefix, strings = trie.cut_largest()
+    assert prefix in families and 100_000 < trie.size <= before / 2 + 1000  # the other family's label is still there
+    assert trie.size == sum(trie.weigh(*edge)[0] for edge in trie.root.edges.values())
+    assert not isinstance(strings, list) and sum(1 for _ in strings) == 200 and trie.terminals == 200

@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pyarrow as pa
 
+from shelfmark.llm import common
 from shelfmark.llm import html_extract as he
 from shelfmark.llm import language_id as li
 from shelfmark.llm import piece_sampling as ps
@@ -279,7 +280,7 @@ def test_every_shared_passage_goes_whole(spark):
 
 def test_removed_spans_stand_in_one_earlier_document(spark, monkeypatch):
     """Against brute force: every removed span is inside one document with a smaller id; every match of that many words that ends at words is removed."""
-    monkeypatch.setattr(sd, "HOT", 8)  # common chunks and owners are joined in parts
+    monkeypatch.setattr(common, "HOT", 8)  # common chunks and owners are joined in parts
     rng = random.Random(21)
     words = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 7))) for _ in range(300)]
     prose = lambda n: " ".join(rng.choices(words, k=n))
