@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, slices, written
+from .common import LONG_WORD, documents, slices, written
 
 #: BANDS x ROWS registers. At a similarity of 0.8 a pair shares no band with probability (1 - 0.8^4)^24 < 4e-6.
 BANDS, ROWS = 24, 4
@@ -57,10 +57,11 @@ def shingle_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
         if not words:
             out.append(np.zeros(0, np.uint64))
             continue
+        own = {}
         for word in words:
             if word not in _words:
-                _words[word] = digest(word)
-        hashes = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+                (_words if len(word) <= LONG_WORD else own)[word] = digest(word)
+        hashes = np.fromiter((own[w] if w in own else _words[w] for w in words) if own else map(_words.__getitem__, words), np.uint64, len(words))
         n = min(width, len(hashes))
         mixed = np.full(len(hashes) - n + 1, n, np.uint64)
         for k in range(n):
@@ -140,8 +141,8 @@ def _signatures(width: int) -> Callable:
             sets = shingle_sets(batch.column(1).to_pylist(), width)
             registers = sketches(sets)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([_node(s) for s in sets], pa.int64()), pa.array([r.tobytes() for r in registers], pa.binary())],
-                ["doc_id", "text_key", "n", "node", "registers"],
+                [batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), *_names(sets), pa.array([r.tobytes() for r in registers], pa.binary())],
+                ["doc_id", "text_key", "n", "node", "check", "registers"],
             )
 
     return run
@@ -153,18 +154,23 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), BANDS)), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), len(keys)))], ["key", "node", "band"])
 
 
-def _node(elements: np.ndarray) -> int:
-    return (xxhash.xxh3_128_intdigest(elements.tobytes()) >> 64) - (1 << 63)
+def _digest(elements: np.ndarray) -> int:
+    return xxhash.xxh3_128_intdigest(elements.tobytes())
+
+
+def _names(sets: list[np.ndarray]) -> list[pa.Array]:
+    """Both halves of each set's 128-bit digest."""
+    digests = [_digest(s) for s in sets]
+    return [pa.array([(d >> 64) - (1 << 63) for d in digests], pa.int64()), pa.array([(d & (1 << 64) - 1) - (1 << 63) for d in digests], pa.int64())]
 
 
 def _sets(width: int) -> Callable:
-    """node (null: any), text -> node, elements, for texts whose set is that class."""
+    """asked, text -> asked, node, check, elements: each text's set and its names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             sets = shingle_sets(batch.column(1).to_pylist(), width)
-            rows = [(own, s.tobytes()) for asked, s in zip(batch.column(0).to_pylist(), sets, strict=True) if asked in (None, own := _node(s))]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["node", "elements"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *_names(sets), pa.array([s.tobytes() for s in sets], pa.binary())], ["asked", "node", "check", "elements"])
 
     return run
 
@@ -304,12 +310,26 @@ def cluster(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     Rows are linked if 100 * common shingles >= percent * all shingles of both. Texts without words (null, empty, white space) are linked
     with nothing: component_id is their own id. Null doc_id: takes part, never the smallest; a component of such rows alone has a null
     component_id and keeps them. Repeated rows with one doc_id are marked alike. Other columns are ignored. Empty table: no rows.
-    Sets are compared as sorted 64-bit shingle hashes, classes of equal sets are named by 64 bits of a 128-bit digest.
+    Sets are compared as sorted 64-bit shingle hashes; classes of equal sets are told apart by 128-bit digests.
     """
     spark = docs.sparkSession
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = written(plain.withColumn("text_key", F.xxhash64("text")).mapInArrow(_signatures(width), "doc_id long, text_key long, n long, node long, registers binary"), "signatures")
-    classes = written(signed.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first"), F.max("n").alias("n"), F.any_value("registers").alias("registers")), "classes")
+    signed = written(plain.withColumn("text_key", F.xxhash64("text")).mapInArrow(_signatures(width), "doc_id long, text_key long, n long, node long, check long, registers binary"), "signatures")
+    first = signed.where("n > 0").groupBy("node").agg(F.min("check").alias("low"), F.max("check").alias("high"), F.min("doc_id").alias("first"), F.max("n").alias("n"), F.any_value("registers").alias("registers"))
+    classes = written(first, "classes")
+    # Classes are named by one half of their digest; where unequal sets share that (next to never), all but one get another name.
+    clashes = classes.where("low < high").select("node", "low")
+    clash = not clashes.isEmpty()
+
+    def renamed(rows: DataFrame) -> DataFrame:
+        if not clash:
+            return rows
+        other = rows.join(F.broadcast(clashes), "node", "left")
+        return other.withColumn("node", F.when(F.col("check") > F.col("low"), F.xxhash64("node", "check")).otherwise(F.col("node"))).select(rows.columns)
+
+    if clash:
+        signed = renamed(signed)
+        classes = written(signed.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first"), F.max("n").alias("n"), F.any_value("registers").alias("registers")), "classes")
     keyed = classes.select("node", "registers").mapInArrow(_keys, "key long, node long, band int")
     shared = keyed.groupBy("key").agg(F.min("node").alias("centre"), F.count("*").alias("members")).where("members > 1")
     buckets = written(keyed.join(shared, "key"), "buckets")
@@ -337,9 +357,10 @@ def cluster(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     named = signed.where("n > 0").join(needed, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     known = plain.join(named.where("doc_id IS NOT NULL"), "doc_id")
     unknown = plain.where("doc_id IS NULL").withColumn("node", F.lit(None).cast("long"))
-    sets = written(
-        known.select("node", "text").unionAll(unknown.select("node", "text")).mapInArrow(_sets(width), "node long, elements binary").join(needed, "node", "left_semi").dropDuplicates(["node"]), "sets"
-    )
+    found = renamed(known.select("node", "text").unionAll(unknown.select("node", "text")).mapInArrow(_sets(width), "asked long, node long, check long, elements binary"))
+    # A text of the named id may belong to another class.
+    own = found.where("asked IS NULL OR asked = node").select("node", "elements")
+    sets = written(own.join(needed, "node", "left_semi").dropDuplicates(["node"]), "sets")
 
     def verified(tiles: DataFrame) -> DataFrame:
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, slices, written
+from .common import LONG_WORD, documents, slices, written
 
 CAPACITY = 4096
 END_ID = 1
@@ -75,7 +75,9 @@ class Encoder:
             known = self.parts.get(part)
             if known is None:
                 spelled = part.encode().decode("latin-1").translate(self.alphabet)
-                known = self.parts[part] = np.array([t.id for t in self.model.tokenize(spelled)], "<u4").tobytes()
+                known = np.array([t.id for t in self.model.tokenize(spelled)], "<u4").tobytes()
+                if len(part) <= LONG_WORD:
+                    self.parts[part] = known
             ids.append(known)
         return b"".join(ids)
 
@@ -95,10 +97,11 @@ class Encoder:
                 known.clear()
             if len(self.parts) > self.KEPT_PARTS:
                 self.parts.clear()
+            own = {}
             for word in words:
                 if word not in known:
-                    known[word] = self._word(word)
-            return b"".join(map(known.__getitem__, words))
+                    (known if len(word) <= LONG_WORD else own)[word] = self._word(word)
+            return b"".join([own[w] if w in own else known[w] for w in words] if own else map(known.__getitem__, words))
 
 
 _encoders: dict[str, Encoder] = {}

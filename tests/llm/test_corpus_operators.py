@@ -227,6 +227,51 @@ def test_near_dedup_against_brute_force(spark, monkeypatch):
     assert got == want[5]
 
 
+def test_classes_that_share_half_a_digest_stay_apart(spark, monkeypatch):
+    whole = nd._digest
+    rows = near_rows()[:40] + [(900, None), (None, near_rows()[0][1])]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_components(rows, 4, 80)
+
+    def few(elements):
+        d = whole(elements)
+        return (d & (1 << 64) - 1) | (d % 11) << 64
+
+    names = nd._names
+
+    def clashing(sets):
+        import pyarrow as pa
+
+        return [pa.array([few(s) >> 64 for s in sets], pa.int64()), names(sets)[1]]
+
+    monkeypatch.setattr(nd, "_signatures", lambda width: signatures_with(clashing, width))
+    monkeypatch.setattr(nd, "_sets", lambda width: sets_with(clashing, width))
+    assert sorted((tuple(r)[:4] for r in nd.cluster(frame, 4).collect()), key=repr) == want
+
+
+def signatures_with(names, width):
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            sets = nd.shingle_sets(batch.column(1).to_pylist(), width)
+            columns = [batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), *names(sets), pa.array([r.tobytes() for r in nd.sketches(sets)], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "n", "node", "check", "registers"])
+
+    return run
+
+
+def sets_with(names, width):
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            sets = nd.shingle_sets(batch.column(1).to_pylist(), width)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *names(sets), pa.array([s.tobytes() for s in sets], pa.binary())], ["asked", "node", "check", "elements"])
+
+    return run
+
+
 def test_near_dedup_of_an_empty_table(spark):
     assert nd.cluster(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
