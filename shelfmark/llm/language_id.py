@@ -18,6 +18,8 @@ SIZES = (2, 3)
 BUCKETS = 1 << 16
 #: The model is fitted on about so many labelled rows of each language, chosen by a hash: the one bounded sample here.
 ROWS_PER_LANGUAGE = 4000
+#: A model is languages x BUCKETS numbers, which are broadcast: 64 MB at most.
+MOST_LANGUAGES = 256
 SMOOTHING = 0.5
 #: Bytes of text that numpy works on at a time: its scratch arrays take about sixty times as much.
 SLICE = 1 << 20
@@ -75,11 +77,13 @@ def fit(labelled: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Mode
     """Learn from ``labelled`` (doc_id, text, lang): counts of languages over all rows, n-grams of the bounded sample.
 
     Rows with a null text, lang or doc_id teach nothing. The driver gets a number for each language and used bucket: at most
-    65,536 for each language, whatever the input.
+    65,536 for each language, whatever the input. More than MOST_LANGUAGES languages: an error.
     """
     known = labelled.select("doc_id", "text", "lang").dropna()
     totals = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(totals)
+    if len(languages) > MOST_LANGUAGES:
+        raise ValueError(f"lang holds {len(languages)} values; a model has {MOST_LANGUAGES} at most, which bounds what is broadcast")
     if not languages:
         return Model([], np.zeros(0), np.zeros((0, BUCKETS), np.float32))
     share = F.create_map(*(x for lang in languages for x in (F.lit(lang), F.lit(min(1.0, rows_per_language / totals[lang])))))

@@ -305,7 +305,9 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def cluster(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id (smallest doc_id of all rows reachable by links), kept and text_key (a hash of the text).
+    """One row per input row: doc_id, n_shingles, component_id (smallest doc_id of all rows reachable by links), kept, text_key (a hash of the text) and stays.
+
+    ``stays`` marks one text of each group: that of the smallest doc_id (nulls last), of several the one with the least text_key. Texts without words all stay.
 
     Rows are linked if 100 * common shingles >= percent * all shingles of both. Texts without words (null, empty, white space) are linked
     with nothing: component_id is their own id. Null doc_id: takes part, never the smallest; a component of such rows alone has a null
@@ -315,8 +317,9 @@ def cluster(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     spark = docs.sparkSession
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = written(plain.withColumn("text_key", F.xxhash64("text")).mapInArrow(_signatures(width), "doc_id long, text_key long, n long, node long, check long, registers binary"), "signatures")
-    first = signed.where("n > 0").groupBy("node").agg(F.min("check").alias("low"), F.max("check").alias("high"), F.min("doc_id").alias("first"), F.max("n").alias("n"), F.any_value("registers").alias("registers"))
-    classes = written(first, "classes")
+    best = F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"), "text_key")).alias("best")
+    about = (F.min("doc_id").alias("first"), best, F.max("n").alias("n"), F.any_value("registers").alias("registers"))
+    classes = written(signed.where("n > 0").groupBy("node").agg(F.min("check").alias("low"), F.max("check").alias("high"), *about), "classes")
     # Classes are named by one half of their digest; where unequal sets share that (next to never), all but one get another name.
     clashes = classes.where("low < high").select("node", "low")
     clash = not clashes.isEmpty()
@@ -329,7 +332,7 @@ def cluster(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
 
     if clash:
         signed = renamed(signed)
-        classes = written(signed.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first"), F.max("n").alias("n"), F.any_value("registers").alias("registers")), "classes")
+        classes = written(signed.where("n > 0").groupBy("node").agg(*about), "classes")
     keyed = classes.select("node", "registers").mapInArrow(_keys, "key long, node long, band int")
     shared = keyed.groupBy("key").agg(F.min("node").alias("centre"), F.count("*").alias("members")).where("members > 1")
     buckets = written(keyed.join(shared, "key"), "buckets")
@@ -392,16 +395,18 @@ def cluster(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
         every = labels.unionAll(more.select(F.col("a").alias("node")).unionAll(more.select("b")).distinct().join(labels, "node", "left_anti").select("node", F.col("node").alias("label")))
         labels = every.join(merged.select(F.col("node").alias("label"), F.col("label").alias("final")), "label", "left").select("node", F.coalesce("final", "label").alias("label"))
 
-    linked = labels.join(classes.select("node", "first"), "node")
-    smallest = linked.groupBy("label").agg(F.min("first").alias("component"))
-    found = classes.select("node", "first").join(linked.join(smallest, "label").select("node", "component"), "node", "left").select("node", F.coalesce("component", "first").alias("component"))
+    linked = labels.join(classes.select("node", "first", "best"), "node")
+    smallest = linked.groupBy("label").agg(F.min("first").alias("component"), F.min("best").alias("top"))
+    members = linked.join(smallest, "label").select("node", "component", "top")
+    found = classes.select("node", "first", "best").join(members, "node", "left").select("node", F.coalesce("component", "first").alias("component"), F.coalesce("top", "best").alias("top"))
     out = signed.select("doc_id", "text_key", "n", "node").join(found, "node", "left")
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"), "text_key")
+    stays = (F.col("n") == 0) | ((F.col("text_key") == F.col("top.text_key")) & (F.coalesce("doc_id", F.lit((1 << 63) - 1)) == F.col("top.id")))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"), "text_key", stays.alias("stays"))
 
 
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cluster(documents(spark, sf_dir), width=4, percent=80).drop("text_key")
+    return cluster(documents(spark, sf_dir), width=4, percent=80).drop("text_key", "stays")
 
 
 OP9_SQL = r"""

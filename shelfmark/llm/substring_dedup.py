@@ -320,6 +320,8 @@ def dedup_substrings(docs: DataFrame, least: int = RUN_WORDS) -> DataFrame:
     input is replaced. Empty table: no rows.
     """
     docs = docs.drop("removed_spans")
+    names = docs.columns
+    docs = docs.toDF(*(c if c in ("doc_id", "text") else f"c{k}" for k, c in enumerate(names)))  # so that no column has a name used here
     row_key = F.xxhash64("text")
     keyed = docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), row_key.bitwiseAND(NO_ID - 1) + F.lit(NO_ID))).withColumn("_key", row_key)
     texts = keyed.where("length(text) > 0").select("_doc", "_key", "text")
@@ -358,7 +360,7 @@ def dedup_substrings(docs: DataFrame, least: int = RUN_WORDS) -> DataFrame:
 
     whole = _among(keyed, asked.select("doc"), inside=False).select(*docs.columns)
     none = F.array().cast(T.ArrayType(span))
-    return marked.mapInArrow(cut, schema).unionByName(whole.withColumn("removed_spans", none))
+    return marked.mapInArrow(cut, schema).unionByName(whole.withColumn("removed_spans", none)).toDF(*names, "removed_spans")
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import random
+import re
 
 import corpus_pipeline
 from shelfmark.llm import common
@@ -48,3 +49,68 @@ def test_a_corpus_without_labels_keeps_its_documents(spark, tmp_path):
     docs = spark.createDataFrame([(1, "a clean document", None), (2, "12345 !!!", None), (3, None, None), (None, "Ünïcode", None)], "doc_id long, text string, lang string")
     out = corpus_pipeline.language(spark, docs, str(tmp_path))
     assert out.columns == docs.columns and {r["text"] for r in out.collect()} == {"a clean document", "Ünïcode"}
+
+
+def brute_kept(rows, width=5):
+    """Exact and near dedup by comparing all pairs: the (doc_id, text) that stay."""
+    order = lambda r: (r[0] is None, r[0] or 0)
+    groups = {}
+    for r in set(rows):
+        groups.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", r[1]), []).append(r)
+    firsts = []
+    for group in groups.values():
+        least = min(map(order, group))
+        firsts.append([r for r in group if order(r) == least])  # any one of these may stay
+    sets = []
+    for group in firsts:
+        words = group[0][1].lower().split()
+        sets.append({tuple(words[k : k + width]) for k in range(max(1, len(words) - width + 1))} if words else set())
+    label = list(range(len(firsts)))
+    for a in range(len(firsts)):
+        for b in range(a):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                label = [label[b] if x == label[a] else x for x in label]
+    out = []
+    for each in set(label):
+        members = [g for g, x in zip(firsts, label, strict=True) if x == each]
+        least = min(order(g[0]) for g in members)
+        out.append([r for g in members for r in g if order(r) == least])
+    return out
+
+
+def test_dedup_stages_against_brute_force(spark, tmp_path):
+    rng = random.Random(12)
+    rows = []
+    for family in range(12):
+        base = [f"w{rng.randint(0, 400)}" for _ in range(rng.choice([6, 60, 120]))]
+        for k in range(6):
+            words = list(base)
+            if k % 3:
+                words[rng.randrange(len(words))] = f"x{k}"
+            ident = None if family % 4 == 0 or rng.random() < 0.2 else rng.randint(0, 60)  # ids repeat, with other texts too
+            rows.append((ident, rng.choice([" ", "  ", "\n"]).join(words)))
+    rows += rows[:5]
+    frame = spark.createDataFrame([(i, t, "s", 1) for i, t in rows], "doc_id long, text string, text_key string, times int")
+    once = corpus_pipeline.exact(spark, frame, "")
+    out = corpus_pipeline.near(spark, once, "")
+    got = [(r["doc_id"], r["text"]) for r in out.collect()]
+    assert out.columns == frame.columns and len(got) == len(set(got))
+    groups = brute_kept(rows)
+    assert len(got) == len(groups) and all(sum(r in group for r in got) == 1 for group in groups)
+
+
+def test_the_pipeline_of_empty_and_clashing_tables(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _doc string, _key int, kept string, text_key string, key long, c0 string, removed_spans string, lang_pred string, node string"
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/empty/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/empty").collect() == []
+    rows, _ = table(spark, f"{tmp_path}/plain")
+    plain = common.documents(spark, f"{tmp_path}/plain")
+    clashing = plain.selectExpr("*", "'d' AS _doc", "7 AS _key", "'k' AS kept", "'t' AS text_key", "doc_id AS key", "'c' AS c0", "'n' AS node")
+    clashing.write.parquet(f"{tmp_path}/clash/documents.parquet")
+    docs = clashing
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        docs = common.written(stage(spark, docs, ""), "test-clash")
+    assert docs.columns == clashing.columns
+    assert docs.where("_doc <> 'd' OR _key <> 7 OR kept <> 'k' OR text_key <> 't' OR NOT key <=> doc_id OR c0 <> 'c' OR node <> 'n'").isEmpty()
+    place = lambda folder: sorted((r["doc_id"] or -1, r["piece"], r["length"], r["ids_crc32"]) for r in corpus_pipeline.run(spark, f"{tmp_path}/{folder}").collect())
+    assert place("clash") == place("plain")
