@@ -150,6 +150,69 @@ def test_pieces_round_trip_and_distribution():
     assert all(abs(seen[k] / n - w / total) < 0.015 for k, w in weights.items())
 
 
+def brute_language(rows, texts):
+    """Naive Bayes by dictionaries: (language, posterior) of each text, learned from all ``rows`` (text, lang)."""
+    import math
+    from collections import Counter
+
+    def grams_of(text):
+        shown = "".join(c.lower()[0] if c.isalpha() else " " for c in text or "")
+        shown = " " + " ".join(shown.split()) + " " if shown.split() else ""
+        out = []
+        for n in li.SIZES:
+            for a in range(len(shown) - n + 1):
+                part = shown[a : a + n]
+                if part.strip():
+                    mixed = n
+                    for c in part:
+                        mixed = ((mixed ^ (0 if c == " " else ord(c))) * 0x9E3779B97F4A7C15) % (1 << 64)
+                        mixed ^= mixed >> 29
+                    out.append((mixed >> 20) % li.BUCKETS)
+        return out
+
+    seen = {}
+    for text, lang in rows:
+        if text is not None and lang is not None:
+            seen.setdefault(lang, [0, Counter()])
+            seen[lang][0] += 1
+            seen[lang][1].update(grams_of(text))
+    total = sum(n for n, _ in seen.values())
+    out = []
+    for text in texts:
+        own = grams_of(text)
+        if not own:
+            out.append(("und", 0.0))
+            continue
+        logs = {}
+        for lang, (n, counts) in sorted(seen.items()):
+            mass = sum(counts.values()) + li.SMOOTHING * li.BUCKETS
+            logs[lang] = math.log(n / total) + sum(math.log((counts[g] + li.SMOOTHING) / mass) for g in own)
+        best = max(logs, key=logs.get)  # of equal ones the first by name
+        out.append((best, 1 / sum(math.exp(v - logs[best]) for v in logs.values())))
+    return out
+
+
+def test_language_against_brute_force(spark):
+    import pyarrow.parquet as pq
+
+    table = pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["text", "lang"]).to_pylist()[:80]
+    rows = [(r["text"], r["lang"]) for r in table] + [("same same", "aa"), ("same same", "bb"), (None, "aa"), ("x", None)]
+    texts = [t[k : k + 60] if t else t for k, (t, _) in enumerate(rows)] + ["", "12 !", "É1ß İx", "zz", "the der la el", "same"]
+    model = li.fit(spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "doc_id long, text string, lang string"))
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in li.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    for k, (lang, score) in enumerate(brute_language(rows, texts)):
+        assert abs(got[k][1] - score) < 1e-3 and (got[k][0] == lang or score < 0.51), (texts[k], got[k], lang, score)
+    tie = li.fit(spark.createDataFrame([(1, "same", "bb"), (2, "same", "aa")], "doc_id long, text string, lang string"))
+    assert [tuple(r) for r in li.predict(spark.createDataFrame([("same",)], "text string"), tie).select("lang_pred", "score").collect()] == [("aa", 0.5)]
+
+
+def test_too_many_languages_are_an_error(spark):
+    import pytest
+
+    with pytest.raises(ValueError, match="at most"):
+        li.fit(spark.range(li.MOST_LANGUAGES + 1).selectExpr("id AS doc_id", "'a b' AS text", "CAST(id AS STRING) AS lang"))
+
+
 def segmentations(shown, pieces, alpha):
     """Every segmentation of a short text (with marks for spaces) and its probability, by enumeration."""
     import itertools
