@@ -180,7 +180,7 @@ _REQUESTS = "SELECT DISTINCT 'req ' || p_size AS ref FROM part"
 
 @query(
     "insert_book_with_images",
-    f"""WITH top AS (SELECT (SELECT max(id) FROM books) AS b, (SELECT max(l_orderkey) FROM lineitem) AS i), new AS (SELECT (SELECT b FROM top) + row_number() OVER (ORDER BY ref) AS id, ref FROM ({_REQUESTS})),
+    f"""WITH top AS (SELECT (SELECT max(id) FROM books) AS b, (SELECT max(l_orderkey) FROM lineitem WHERE l_linenumber = 1) AS i), new AS (SELECT (SELECT b FROM top) + row_number() OVER (ORDER BY ref) AS id, ref FROM ({_REQUESTS})),
     made AS (SELECT (SELECT i FROM top) + row_number() OVER (ORDER BY id, place) AS id, id AS book_id, type FROM new, (VALUES (0, 'COVER'), (1, 'INFO_PAGE'), (2, 'INFO_PAGE')) AS v(place, type))
     SELECT CAST(id AS BIGINT) AS id, CAST(book_id AS BIGINT) AS book_id, type FROM made UNION ALL SELECT l_orderkey, l_orderkey, 'COVER' FROM lineitem WHERE l_linenumber = 1""",
     "books",
