@@ -83,10 +83,24 @@ def _(spark, d):
     return listed.select("book_id", F.array_join(F.array_sort(t.split_names(text)), "|").alias("names"))
 
 
-_PAIR = ("CASE p_partkey % 4 WHEN 0 THEN 'Бобров Ю. Г.' WHEN 1 THEN 'Петрова А.Б.' WHEN 2 THEN 'Smith J.' ELSE p_brand END", "CASE p_partkey % 4 WHEN 0 THEN 'Бобров Юрий Георгиевич' WHEN 1 THEN 'Петрова Анна Борисовна' WHEN 2 THEN 'smith  John' ELSE lower(p_brand) END")
+_PAIR = (
+    "CASE p_partkey % 8 WHEN 0 THEN 'Бобров Ю. Г.' WHEN 1 THEN 'Петрова А.Б.' WHEN 2 THEN 'Smith J.' WHEN 3 THEN 'Cox ' || substr(p_name, 1, 1) || '. B.' WHEN 4 THEN 'Coх, A' WHEN 5 THEN p_brand WHEN 6 THEN 'Lee ' || p_name ELSE p_type END",
+    "CASE p_partkey % 8 WHEN 0 THEN 'Бобров Юрий Георгиевич' WHEN 1 THEN 'Петрова Анна Борисовна' WHEN 2 THEN 'smith  John' WHEN 3 THEN 'COX ' || substr(p_brand, 7, 1) || substr(p_name, 1, 2) || ' bo' WHEN 4 THEN 'cox a' WHEN 5 THEN lower(p_brand) WHEN 6 THEN 'Lee ' || substr(p_name, 1, 1) || '. ' || substr(p_type, 1, 1) END",
+)
+
+
+def _initials(parts: str) -> str:
+    """Initials of the words after the first, as the SQL reads them."""
+    bare = f"list_filter(list_transform({parts}[2:], lambda x: regexp_replace(x, '[.,]', '', 'g')), lambda x: x <> '')"
+    return f"list_transform({bare}, lambda x: {_COMPARABLE.format('upper(left(x, 1))')})"
 
 
-@query("author_match", "SELECT p_partkey, p_partkey % 4 <> 1 AS same FROM part")
+@query(
+    "author_match",
+    f"""WITH x AS (SELECT p_partkey, {_PAIR[0]} AS a, {_PAIR[1]} AS b FROM part), w AS (SELECT *, string_split({_ONE_LINE.format('a')}, ' ') AS pa, string_split({_ONE_LINE.format('b')}, ' ') AS pb FROM x)
+    SELECT p_partkey, CASE WHEN a IS NULL OR b IS NULL THEN a IS NULL AND b IS NULL ELSE {_COMPARABLE.format('a')} = {_COMPARABLE.format('b')}
+      OR ({_COMPARABLE.format('pa[1]')} = {_COMPARABLE.format('pb[1]')} AND {_initials('pa')} = {_initials('pb')}) END AS same FROM w""",
+)
 def _(spark, d):
     return s.table(spark, d, "part").select("p_partkey", t.same_author(F.expr(_PAIR[0]), F.expr(_PAIR[1])).alias("same"))
 
