@@ -20,6 +20,16 @@ HOT, MOST_HOT = 4096, 4096
 #: Longer words are not kept in the workers' caches, so that those have a bound in bytes.
 LONG_WORD = 64
 
+#: On a local shared folder Hadoop starts a process for each file, checksum file and folder it makes; until that process runs its own program, it
+#: counts as large as its JVM. So intermediate tables have neither checksum files nor a success mark; the checksums of Parquet's pages are read instead.
+_PLAIN = {
+    "fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem",
+    "fs.file.impl.disable.cache": "true",
+    "mapreduce.fileoutputcommitter.marksuccessfuljobs": "false",
+    "parquet.page.write-checksum.enabled": "true",
+}
+_VERIFIED = {"parquet.page.verify-checksum.enabled": "true"}
+
 _own_folder: list[str] = []
 _written: list[tuple[SparkSession, str]] = []
 
@@ -41,9 +51,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**_PLAIN).parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).options(**_VERIFIED).parquet(path)
 
 
 def spread(rows: DataFrame, known: DataFrame, key: str, counts: DataFrame, salt: Column) -> DataFrame:

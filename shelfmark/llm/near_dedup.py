@@ -368,7 +368,8 @@ def cluster(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     def verified(tiles: DataFrame) -> DataFrame:
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
         rows = tiles.join(sets, "node").select("tile", "node", "elements").repartition(parts, "tile").sortWithinPartitions("tile")
-        return written(rows.mapInArrow(_verify(percent), "a long, b long"), "links")
+        # Links are few: dealt anew, they go to a few files instead of one for each of the parts.
+        return written(rows.mapInArrow(_verify(percent), "a long, b long").repartition("a", "b"), "links")
 
     links = verified(star_tiles)
     labels = components(links)
