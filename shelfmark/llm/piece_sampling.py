@@ -3,7 +3,8 @@
 The segmentation of a row is drawn from the distribution over all segmentations, with probabilities raised to ``alpha``. Draws come
 from a hash of (seed, row key, place in the row), so a row's segmentation depends on nothing else. No piece crosses from a word to
 the space after it, so the lattice of a text is that of its units (a run of spaces with the word after it) one after the other;
-a batch's distinct units are filtered together, whatever their length. Sums are held as logarithms, so no ``alpha`` underflows.
+a batch's distinct units are filtered together, whatever their length, and those of common length are kept for the next batches.
+Sums are held as logarithms, so no ``alpha`` underflows.
 """
 
 from __future__ import annotations
@@ -11,13 +12,14 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, slices, text_buffer
+from .common import LONG_WORD, documents, slices, text_buffer
 
 MODEL = "piece_bpe_32k.model"
 ALPHA, SEED = 0.2, 1
@@ -26,7 +28,9 @@ _UNITS = re.compile(" *[^ ]+| +")
 #: So many characters of units are filtered at a time, and of a longer unit the edges of so many characters are held: memory has a bound, the lattice
 #: and the draws are the same. A step over all units costs about as much as STEP characters of a unit by itself.
 BLOCK, WINDOW, STEP = 1 << 20, 1 << 15, 8
-_FILTER = 20  # bits of the filter before the search in the vocabulary
+#: A worker keeps the filtered lattices of units up to LONG_WORD long until they have so many characters (and those of one block more).
+KEPT = 1 << 21
+_SLOTS, _PREFIXES = 20, 22  # bits of a hash that find a piece and tell beginnings of longer pieces
 _U = np.uint64
 
 
@@ -62,21 +66,28 @@ class Pieces:
         self.log_prob = {p: -math.log((r + 2.7) * total) for r, p in enumerate(by_rank)}
         self.fallback = min(self.log_prob.values()) - 1.0  # for each byte
         self.longest = max(map(len, self.ids))
-        # By length: the sorted hashes of all pieces, their ids and log-probabilities, and a filter by the hash's top bits.
-        self.tables = []
+        # The sorted hashes of all pieces, their ids and log-probabilities; the first of them by a hash's top bits, or -1; whether a longer piece begins so.
+        names, hashes, self.begun = [], [], np.zeros(1 << _PREFIXES, bool)
         for n in range(1, self.longest + 1):
             own = [p for p in self.ids if len(p) == n]
             codes = np.frombuffer("".join(own).encode("utf-32-le"), np.uint32).reshape(len(own), n).astype(np.uint64)
             hashed = np.zeros(len(own), np.uint64)
             for k in range(n):
+                if k:
+                    self.begun[hashed >> _U(64 - _PREFIXES)] = True
                 hashed = _mix(hashed * _U(0x9E3779B97F4A7C15) + codes[:, k] + _U(1))
-            order = np.argsort(hashed)
-            seen = np.zeros(1 << _FILTER, bool)
-            seen[hashed >> _U(64 - _FILTER)] = True
-            self.tables.append((hashed[order], np.array([self.ids[own[k]] for k in order], np.int32), np.array([self.log_prob[own[k]] for k in order]), seen))
+            names += own
+            hashes.append(hashed)
+        hashed = np.concatenate(hashes)
+        order = np.argsort(hashed)
+        self.hashed, self.id = hashed[order], np.array([self.ids[names[k]] for k in order], np.int32)
+        self.weight = np.array([self.log_prob[names[k]] for k in order])
+        self.slot = np.full(1 << _SLOTS, -1, np.int32)
+        self.slot[self.hashed[::-1] >> _U(64 - _SLOTS)] = np.arange(len(order))[::-1]
         self.lengths = np.array([len(s) for s in spelled])
         self.begins = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
         self.spelled = np.frombuffer(b"".join(spelled), np.uint8)
+        self.kept: Kept | None = None
 
 
 def edges(real: np.ndarray, end: np.ndarray, pieces: Pieces, alpha: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -87,21 +98,24 @@ def edges(real: np.ndarray, end: np.ndarray, pieces: Pieces, alpha: float) -> tu
     """
     # A space is the piece alphabet's mark; the mark itself, in a text, must not pass for a space.
     codes = np.where(real == 32, ord(_SPACE), np.where(real == ord(_SPACE), 0, real)).astype(np.uint64)
-    hashed = np.zeros(len(codes), np.uint64)
-    at = np.arange(len(codes))
+    at, hashed, stop = np.arange(len(codes)), np.zeros(len(codes), np.uint64), end
     first, size, weight, ids = [], [], [], []
     for n in range(1, pieces.longest + 1):
-        at = at[at + n <= end[at]]
-        hashed[at] = _mix(hashed[at] * _U(0x9E3779B97F4A7C15) + codes[at + n - 1] + _U(1))
-        known, own, log_prob, seen = pieces.tables[n - 1]
-        if not len(known):
-            continue
-        maybe = at[seen[hashed[at] >> _U(64 - _FILTER)]]
-        found = np.minimum(np.searchsorted(known, hashed[maybe]), len(known) - 1)
-        hit = known[found] == hashed[maybe]
-        first.append(maybe[hit])
-        weight.append(alpha * log_prob[found[hit]])
-        ids.append(own[found[hit]])
+        if n > 1:
+            on = np.flatnonzero(pieces.begun[hashed >> _U(64 - _PREFIXES)] & (at + n <= stop))
+            at, hashed, stop = at[on], hashed[on], stop[on]
+        hashed = _mix(hashed * _U(0x9E3779B97F4A7C15) + codes[at + n - 1] + _U(1))
+        found = pieces.slot[hashed >> _U(64 - _SLOTS)]
+        maybe = np.flatnonzero(found >= 0)
+        found, sought = found[maybe], hashed[maybe]
+        hit = pieces.hashed[found] == sought
+        other = np.flatnonzero(~hit)  # a piece with the same top bits, or none
+        found[other] = np.minimum(np.searchsorted(pieces.hashed, sought[other]), len(pieces.hashed) - 1)
+        hit[other] = pieces.hashed[found[other]] == sought[other]
+        maybe, found = maybe[hit], found[hit]
+        first.append(at[maybe])
+        weight.append(alpha * pieces.weight[found])
+        ids.append(pieces.id[found])
         if n == 1:
             odd = np.ones(len(codes), bool)
             odd[first[0]] = False
@@ -111,7 +125,7 @@ def edges(real: np.ndarray, end: np.ndarray, pieces: Pieces, alpha: float) -> tu
             weight.append(alpha * pieces.fallback * wide)
             ids.append(-real[odd].astype(np.int32))
             size.append(np.ones(len(odd), np.int64))
-        size.append(np.full(int(hit.sum()), n))
+        size.append(np.full(len(maybe), n))
     return np.concatenate(first), np.concatenate(size), np.concatenate(weight), np.concatenate(ids)
 
 
@@ -130,36 +144,40 @@ class Lattice:
         unit = np.repeat(np.arange(len(units)), self.size)
         first, size, weight, ids = edges(real, (begin + self.size)[unit], pieces, alpha)
         to = first + unit[first] + size
-        order = np.argsort(to, kind="stable")
-        to, self.length, weight, self.piece = to[order], size[order], weight[order], ids[order]
         nodes = len(real) + len(units)
-        self.into = np.searchsorted(to, np.arange(nodes + 1))
-        # Edges by their distance from the unit's start: all sums before are known when an edge's turn comes.
-        place = np.arange(nodes) - np.repeat(self.node, self.size + 1)
-        depth = place[to]
-        turn = np.argsort(depth.astype(np.uint16) if len(depth) and depth.max() < 1 << 16 else depth, kind="stable")
-        ends = np.searchsorted(depth[turn], np.arange(1, (int(self.size.max()) if len(units) else 0) + 2))
-        to, source, weight = to[turn], (to - self.length)[turn], weight[turn]
-        fresh = np.concatenate([[True], to[1:] != to[:-1]]) if len(to) else np.zeros(0, bool)
-        group = np.cumsum(fresh) - 1
-        heads = np.flatnonzero(fresh)
+        self.into = np.concatenate([[0], np.cumsum(np.bincount(to, minlength=nodes))])
+        # Edges by node, then length: they come one length after the other, and a node has at most one edge of each.
+        free, place = self.into[:-1].copy(), np.empty(len(to), np.int64)
+        bounds = np.searchsorted(size, np.arange(1, pieces.longest + 2))
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            place[a:b] = free[to[a:b]]
+            free[to[a:b]] += 1
+        self.length, self.piece, log = np.empty(len(to), np.int64), np.empty(len(to), np.int32), np.empty(len(to))
+        self.length[place], self.piece[place], log[place] = size, ids, weight
+        # Nodes by their distance from the unit's start: all sums before are known when a node's turn comes.
+        falling = np.argsort(-self.size, kind="stable")
+        begin = self.node[falling]
+        most = int(self.size.max()) if len(units) else 0
+        reach = np.searchsorted(-self.size[falling], -np.arange(1, most + 1), "right")
         forward = np.zeros(nodes)  # logarithms; 0 at each unit's first node
-        share = np.zeros(len(to))
-        for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-            low, high = group[a], group[b - 1] + 1
-            starts, of = heads[low:high] - a, group[a:b] - low
-            value = forward[source[a:b]] + weight[a:b]
+        self.share = np.zeros(len(to))
+        for depth, count in enumerate(reach.tolist(), 1):
+            here = begin[:count] + depth
+            low = self.into[here]
+            times = self.into[here + 1] - low
+            starts = np.cumsum(times) - times
+            of = np.repeat(np.arange(count), times)
+            edge = np.arange(len(of)) + (low - starts)[of]
+            value = forward[here[of] - self.length[edge]] + log[edge]
             value -= (top := np.maximum.reduceat(value, starts))[of]
             value = np.exp(value)
             total = np.add.reduceat(value, starts)
-            forward[to[heads[low:high]]] = top + np.log(total)
-            share[a:b] = value / total[of]
-        self.share = np.zeros(len(to))
-        self.share[turn] = share
+            forward[here] = top + np.log(total)
+            self.share[edge] = value / total[of]
 
 
-def _sampled_long(unit: str, draw: int, pieces: Pieces, alpha: float) -> tuple[list[int], list[int]]:
-    """Ids of one long unit and the nodes they end at, last first: the same filter and draws, with the edges of one window at a time."""
+def _sampled_long(unit: str, draw: int, pieces: Pieces, alpha: float) -> list[int]:
+    """Ids of one long unit, last first: the same filter and draws, with the edges of one window at a time."""
     real = np.frombuffer(unit.encode("utf-32-le"), np.uint32)
 
     def window(a: int, b: int) -> tuple[list[int], list[int], list[float], list[int]]:
@@ -184,7 +202,7 @@ def _sampled_long(unit: str, draw: int, pieces: Pieces, alpha: float) -> tuple[l
             known.append(top + math.log(sum(math.exp(v - top) for v in value)))
         forward[a + 1 : b + 1] = known[a + 1 - low :]
     draws = (_mix(_U(draw) + np.arange(len(unit) + 1, dtype=np.uint64)) >> _U(11)).astype(np.float64) * 2.0**-53
-    found, where, at = [], [], len(unit)
+    found, at = [], len(unit)
     for a, b in reversed(windows):
         into, size, weight, ids = window(a, b)
         low = max(0, a - pieces.longest)
@@ -196,84 +214,136 @@ def _sampled_long(unit: str, draw: int, pieces: Pieces, alpha: float) -> tuple[l
                 if left < 0:
                     break
             found.append(ids[e])
-            where.append(at)
             at -= size[e]
-    return found, where
+    return found
+
+
+class Kept:
+    """The lattices of distinct units that earlier blocks had: arrays as in :class:`Lattice`, one unit after the other."""
+
+    def __init__(self, alpha: float) -> None:
+        self.alpha = alpha
+        self.known: dict[str, int] = {}
+        self.size = self.node = np.zeros(0, np.int64)
+        self.into = np.zeros(1, np.int64)
+        self.length, self.piece, self.share = np.zeros(0, np.uint16), np.zeros(0, np.int32), np.zeros(0)
+
+    def add(self, units: list[str], pieces: Pieces) -> None:
+        lattice = Lattice(units, pieces, self.alpha)
+        self.known.update(zip(units, range(len(self.known), len(self.known) + len(units)), strict=True))
+        self.node = np.concatenate([self.node, lattice.node + (len(self.into) - 1)])
+        self.into = np.concatenate([self.into[:-1], lattice.into + len(self.share)])
+        self.size = np.concatenate([self.size, lattice.size])
+        self.length = np.concatenate([self.length, lattice.length.astype(np.uint16)])
+        self.piece = np.concatenate([self.piece, lattice.piece])
+        self.share = np.concatenate([self.share, lattice.share])
+
+
+def _drawn(lattice: Lattice | Kept, unit: np.ndarray, draw: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """How many pieces each of ``unit`` (numbers of the lattice's units) gets; for each step back from the units' ends, places in ``unit`` and pieces."""
+    node, at = lattice.node[unit], lattice.size[unit]
+    times, steps = np.zeros(len(unit), np.int64), []
+    alive = np.arange(len(unit))
+    while len(alive):
+        left = (_mix(draw + at.astype(np.uint64)) >> _U(11)).astype(np.float64) * 2.0**-53
+        edge, last = lattice.into[node + at], lattice.into[node + at + 1] - 1
+        left -= lattice.share[edge]
+        open_ = np.flatnonzero((left >= 0) & (edge < last))
+        while len(open_):  # the last edge stands if rounding leaves a share over
+            further = edge[open_] + 1
+            edge[open_] = further
+            rest = left[open_] - lattice.share[further]
+            left[open_] = rest
+            open_ = open_[(rest >= 0) & (further < last[open_])]
+        steps.append((alive, lattice.piece[edge]))
+        at = at - lattice.length[edge]
+        more = at > 0
+        times[alive[~more]] = len(steps)
+        alive, at, node, draw = alive[more], at[more], node[more], draw[more]
+    return times, steps
 
 
 def _sampled(units: list[str], draw: np.ndarray, pieces: Pieces, alpha: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pieces of all units, in order, and the unit of each; minus a code point where a character falls back to bytes."""
-    sizes = np.array([len(u) for u in units], np.int64)
+    """Pieces of all units, in order, and how many each unit has; minus a code point where a character falls back to bytes."""
+    kept = pieces.kept
+    if kept is None or kept.alpha != alpha or kept.size.sum() > KEPT:
+        kept = pieces.kept = Kept(alpha)
+    index = np.fromiter(map(kept.known.get, units, repeat(-1)), np.int64, len(units))
+    fresh = np.flatnonzero(index < 0)
+    own: dict[str, int] = {}
+    if len(fresh):
+        names = [units[k] for k in fresh.tolist()]
+        if short := [u for u in dict.fromkeys(names) if len(u) <= LONG_WORD]:
+            kept.add(short, pieces)
+        index[fresh] = np.fromiter(map(kept.known.get, names, repeat(-1)), np.int64, len(names))
+    common, long = np.flatnonzero(index >= 0), np.flatnonzero(index < 0)
+    sizes = np.array([len(units[k]) for k in long.tolist()], np.int64)
     # A few units far longer than all others are filtered by themselves, as they would have most steps alone.
     longest = np.argsort(-sizes, kind="stable")
     cost = np.cumsum(np.append(0, sizes[longest])) + STEP * np.append(sizes[longest], 0)
-    apart = longest[: max(int(cost.argmin()), int((sizes > WINDOW).sum()))]
-    together = np.ones(len(units), bool)
-    together[apart] = False
-    found, where = [], []
+    apart = long[longest[: max(int(cost.argmin()), int((sizes > WINDOW).sum()))]]
+    together = np.setdiff1d(long, apart)
+    times = np.zeros(len(units), np.int64)
+    alone = {}
     for k in apart.tolist():
-        chosen, ends = _sampled_long(units[k], int(draw[k]), pieces, alpha)
-        found.append(np.array(chosen, np.int32))
-        where.append((k << 32) + np.array(ends, np.int64))
-    alive = np.flatnonzero(together)
-    known: dict[str, int] = {}
-    unit = np.zeros(len(units), np.int64)
-    unit[alive] = [known.setdefault(units[k], len(known)) for k in alive.tolist()]
-    lattice = Lattice(list(known), pieces, alpha)
-    at, node = sizes.copy(), lattice.node[unit] if known else sizes
-    while len(alive):
-        here = at[alive]
-        left = (_mix(draw[alive] + here.astype(np.uint64)) >> _U(11)).astype(np.float64) * 2.0**-53
-        low, high = lattice.into[node[alive] + here], lattice.into[node[alive] + here + 1]
-        edge = low.copy()
-        open_ = np.arange(len(alive))
-        while True:  # the last edge stands if rounding leaves a share over
-            left[open_] -= lattice.share[edge[open_]]
-            open_ = open_[(left[open_] >= 0) & (edge[open_] + 1 < high[open_])]
-            if not len(open_):
-                break
-            edge[open_] += 1
-        found.append(lattice.piece[edge])
-        where.append((alive << 32) + here)
-        at[alive] -= lattice.length[edge]
-        alive = alive[at[alive] > 0]
-    piece, order = np.concatenate(found), np.concatenate(where)
-    sort = np.argsort(order, kind="stable")
-    return piece[sort], order[sort] >> 32
+        alone[k] = np.array(_sampled_long(units[k], int(draw[k]), pieces, alpha)[::-1], np.int32)
+        times[k] = len(alone[k])
+    drawn = []
+    for some, lattice in ((common, kept), (together, None)):
+        if not len(some):
+            continue
+        if lattice is None:
+            of = np.array([own.setdefault(units[k], len(own)) for k in some.tolist()], np.int64)
+            lattice = Lattice(list(own), pieces, alpha)
+        else:
+            of = index[some]
+        times[some], steps = _drawn(lattice, of, draw[some])
+        drawn.append((some, steps))
+    ends = np.cumsum(times)
+    piece = np.zeros(int(times.sum()), np.int32)
+    for some, steps in drawn:
+        last = ends[some] - 1
+        for n, (alive, chosen) in enumerate(steps):
+            piece[last[alive] - n] = chosen
+    for k, chosen in alone.items():
+        piece[ends[k] - len(chosen) : ends[k]] = chosen
+    return piece, times
 
 
 def encode(texts: list[str], row_keys: np.ndarray, pieces: Pieces, alpha: float = ALPHA, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
     """Sampled ids of all texts, one after the other, and the offset of each text's first id (one more than texts)."""
     found, where = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
     units: list[str] = []
-    row: list[int] = []
-    place: list[int] = []
+    runs: list[tuple[int, int, int]] = []  # row, place of the first unit there, units
+    keyed = _mix(row_keys.astype(np.uint64) + _U(seed) * _U(0x9E3779B97F4A7C15))
     held = 0
 
     def sample() -> None:
-        of = np.array(row, np.int64)
-        draw = _mix(_mix(row_keys.astype(np.uint64) + _U(seed) * _U(0x9E3779B97F4A7C15))[of] + np.array(place, np.uint64) * _U(0xD6E8FEB86659FD93))
-        piece, unit = _sampled(units, draw, pieces, alpha)
+        row, first, count = np.array(runs, np.int64).T
+        of = np.repeat(row, count)
+        place = np.arange(len(units)) + np.repeat(first - (np.cumsum(count) - count), count)
+        piece, times = _sampled(units, _mix(keyed[of] + place.astype(np.uint64) * _U(0xD6E8FEB86659FD93)), pieces, alpha)
         found.append(piece)
-        where.append(of[unit])
-        units.clear(), row.clear(), place.clear()
+        where.append(np.repeat(of, times))
+        units.clear(), runs.clear()
 
     for k, text in enumerate(texts):
         if len(text) + held <= BLOCK:
             own = _UNITS.findall(text)
             units += own
-            row += [k] * len(own)
-            place += range(len(own))
+            runs.append((k, 0, len(own)))
             held += len(text)
             continue
-        for n, m in enumerate(_UNITS.finditer(text)):
+        first, begin = 0, len(units)
+        for m in _UNITS.finditer(text):
             units.append(m[0])
-            row.append(k)
-            place.append(n)
             held += len(m[0])
             if held > BLOCK:
+                count = len(units) - begin
+                runs.append((k, first, count))
                 sample()
-                held = 0
+                first, begin, held = first + count, 0, 0
+        runs.append((k, first, len(units) - begin))
     if units:
         sample()
     piece, rows = np.concatenate(found), np.concatenate(where)

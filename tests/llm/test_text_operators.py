@@ -392,3 +392,32 @@ def test_repeated_rows_and_rows_without_ids(spark):
 
 def test_words_of_texts_without_spaces():
     assert sd.words("one two\tthree") == 3 and sd.words("一二三四五 two") == 6 and sd.words("z" * 400) == 20
+
+
+def test_units_of_earlier_batches_are_kept(monkeypatch):
+    pieces = ps.Pieces(ps.model_path())
+    texts = [" ".join(f"word{k % 90} {'long' * (k % 40)}{k % 7}" for k in range(m, m + 300)) for m in range(20)]
+    keys = np.arange(len(texts), dtype=np.uint64)
+    filtered = []
+    whole = ps.Lattice
+    monkeypatch.setattr(ps, "Lattice", lambda units, *rest: filtered.extend(units) or whole(units, *rest))
+    ids, at = ps.encode(texts, keys, pieces)
+    short = [u for u in filtered if len(u) <= ps.LONG_WORD]
+    assert len(short) == len(set(short)) > 90
+    filtered.clear()
+    assert ps.encode(texts, keys, pieces)[0].tolist() == ids.tolist()
+    assert all(len(u) > ps.LONG_WORD for u in filtered)
+    monkeypatch.setattr(ps, "KEPT", 100)  # a worker that starts anew with each text draws the same, another alpha does not
+    assert [i for k, t in enumerate(texts) for i in ps.encode([t], keys[k : k + 1], pieces)[0].tolist()] == ids.tolist()
+    assert ps.encode(texts, keys, pieces, 2.0)[0].tolist() != ids.tolist()
+    assert ps.encode(texts, keys, pieces)[0].tolist() == ids.tolist()
+
+
+def test_kept_units_are_drawn_as_by_themselves():
+    pieces = ps.Pieces(ps.model_path())
+    draw = ps._mix(np.arange(300, dtype=np.uint64))
+    for unit in (" there", "   a", "     ", "hello", " naïve中x"):
+        for alpha in (0, 0.2, 1, 60, 1000):
+            piece, times = ps._sampled([unit] * 300, draw, pieces, alpha)
+            assert piece.tolist() == [i for d in draw.tolist() for i in ps._sampled_long(unit, d, pieces, alpha)[::-1]]
+            assert times.sum() == len(piece)
