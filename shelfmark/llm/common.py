@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +22,8 @@ HOT, MOST_HOT = 4096, 4096
 #: Longer words are not kept in the workers' caches, so that those have a bound in bytes.
 LONG_WORD = 64
 
-#: On a local shared folder Hadoop starts a process for each file, checksum file and folder it makes; until that process runs its own program, it
-#: counts as large as its JVM. So intermediate tables have neither checksum files nor a success mark; the checksums of Parquet's pages are read instead.
+#: On a local shared folder Hadoop starts a process for each file, checksum file and folder it makes. So intermediate tables have neither checksum
+#: files nor a success mark; the checksums of Parquet's pages are read instead.
 _PLAIN = {
     "fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem",
     "fs.file.impl.disable.cache": "true",
@@ -81,6 +83,28 @@ def _remove_written() -> None:
             return
 
 
+def give_back() -> None:
+    """Return what this process has freed to the system: Arrow's pool and the C library keep it otherwise."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):  # not glibc
+        pass
+
+
+def lean(run: Callable) -> Callable:
+    """``run`` for mapInArrow; at its end the worker, which Spark keeps for later tasks, holds no more than it needs."""
+
+    @functools.wraps(run)
+    def lean_run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return lean_run
+
+
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, documents, spread, written
+from .common import SPACES, documents, lean, spread, written
 
 #: Bytes of strings that one trie holds before it spills (reduce side) or hands on what it has (map side).
 TRIE_BYTES = 96 << 20
@@ -194,14 +194,14 @@ def normalised(text: Column) -> Column:
 def owners(docs: DataFrame, limit: int = TRIE_BYTES) -> DataFrame:
     """One row per distinct normalised text: digest (SHA-256, binary), owner (smallest doc_id, null if all are), n (rows)."""
     spark = docs.sparkSession
-    partial = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(normalised(F.col("text")), "UTF-8").alias("body")).mapInArrow(_combine, _PARTIAL)
+    partial = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(normalised(F.col("text")), "UTF-8").alias("body")).mapInArrow(lean(_combine), _PARTIAL)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     done: list[DataFrame] = []
     while True:
         # A string that spilled may have rows on both sides of the spill: all of them are in the next round, none is counted here.
         # The number of partitions changes each round, so strings that met before are dealt apart.
         dealt = partial.repartition(parts, "n_bytes", "digest")
-        table = written(dealt.mapInArrow(_own(limit), _OWNED), "trie-owners")
+        table = written(dealt.mapInArrow(lean(_own(limit)), _OWNED), "trie-owners")
         done.append(table.where("spilled IS NULL").select("digest", "owner", "n"))
         partial = table.where("spilled IS NOT NULL").select("digest", "n_bytes", "owner", "n", F.col("spilled").alias("body"))
         if partial.isEmpty():

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, slices, text_buffer
+from .common import documents, lean, slices, text_buffer
 
 UNKNOWN = "und"
 SIZES = (2, 3)
@@ -101,7 +101,7 @@ def fit(labelled: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Mode
             b = slice(a, a + 10_000)
             yield pa.RecordBatch.from_arrays([pa.array(lang[b].astype(np.int32)), pa.array(bucket[b].astype(np.int32)), pa.array(held[lang[b], bucket[b]])], ["lang", "bucket", "n"])
 
-    sums = drawn.select("text", "lang").mapInArrow(count, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    sums = drawn.select("text", "lang").mapInArrow(lean(count), "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     counts = np.full((len(languages), BUCKETS), SMOOTHING)
     counts[sums["lang"].to_numpy(), sums["bucket"].to_numpy()] += sums["n"].to_numpy()
     prior = np.array([totals[x] for x in languages], float)
@@ -140,7 +140,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             langs, score = scores(batch.column(at), sent.value)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(score)], [*batch.schema.names, "lang_pred", "score"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def held_out(doc_id: str = "doc_id"):

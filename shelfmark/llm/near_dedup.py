@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LONG_WORD, documents, slices, written
+from .common import LONG_WORD, documents, lean, slices, written
 
 #: BANDS x ROWS registers. At a similarity of 0.8 a pair shares no band with probability (1 - 0.8^4)^24 < 4e-6.
 BANDS, ROWS = 24, 4
@@ -316,7 +316,7 @@ def cluster(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """
     spark = docs.sparkSession
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = written(plain.withColumn("text_key", F.xxhash64("text")).mapInArrow(_signatures(width), "doc_id long, text_key long, n long, node long, check long, registers binary"), "signatures")
+    signed = written(plain.withColumn("text_key", F.xxhash64("text")).mapInArrow(lean(_signatures(width)), "doc_id long, text_key long, n long, node long, check long, registers binary"), "signatures")
     best = F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"), "text_key")).alias("best")
     about = (F.min("doc_id").alias("first"), best, F.max("n").alias("n"), F.any_value("registers").alias("registers"))
     classes = written(signed.where("n > 0").groupBy("node").agg(F.min("check").alias("low"), F.max("check").alias("high"), *about), "classes")
@@ -333,7 +333,7 @@ def cluster(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     if clash:
         signed = renamed(signed)
         classes = written(signed.where("n > 0").groupBy("node").agg(*about), "classes")
-    keyed = classes.select("node", "registers").mapInArrow(_keys, "key long, node long, band int")
+    keyed = classes.select("node", "registers").mapInArrow(lean(_keys), "key long, node long, band int")
     shared = keyed.groupBy("key").agg(F.min("node").alias("centre"), F.count("*").alias("members")).where("members > 1")
     buckets = written(keyed.join(shared, "key"), "buckets")
 
@@ -345,7 +345,7 @@ def cluster(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
         .select("centre", "node", "registers", "n")
         .join(sketch.select(F.col("node").alias("centre"), F.col("registers").alias("registers_2"), F.col("n").alias("n_2")), "centre")
         .select("centre", "node", "registers", "n", "registers_2", "n_2")
-        .mapInArrow(_star_test(percent), "centre long, node long")
+        .mapInArrow(lean(_star_test(percent)), "centre long, node long")
     )
     stars = written(tested, "stars")
     # A centre meets at most about STAR members in a tile; their sets are about as large as its own.
@@ -360,7 +360,7 @@ def cluster(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     named = signed.where("n > 0").join(needed, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     known = plain.join(named.where("doc_id IS NOT NULL"), "doc_id")
     unknown = plain.where("doc_id IS NULL").withColumn("node", F.lit(None).cast("long"))
-    found = renamed(known.select("node", "text").unionAll(unknown.select("node", "text")).mapInArrow(_sets(width), "asked long, node long, check long, elements binary"))
+    found = renamed(known.select("node", "text").unionAll(unknown.select("node", "text")).mapInArrow(lean(_sets(width)), "asked long, node long, check long, elements binary"))
     # A text of the named id may belong to another class.
     own = found.where("asked IS NULL OR asked = node").select("node", "elements")
     sets = written(own.join(needed, "node", "left_semi").dropDuplicates(["node"]), "sets")
@@ -369,7 +369,7 @@ def cluster(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
         rows = tiles.join(sets, "node").select("tile", "node", "elements").repartition(parts, "tile").sortWithinPartitions("tile")
         # Links are few: dealt anew, they go to a few files instead of one for each of the parts.
-        return written(rows.mapInArrow(_verify(percent), "a long, b long").repartition("a", "b"), "links")
+        return written(rows.mapInArrow(lean(_verify(percent)), "a long, b long").repartition("a", "b"), "links")
 
     links = verified(star_tiles)
     labels = components(links)
@@ -385,7 +385,7 @@ def cluster(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     side = F.when(low == high, 0).when(F.col("block") == low, 1).otherwise(2)
     tiles = spread.select(F.xxhash64("key", low, high).alias("tile"), "band", side.alias("side"), "node", "label").join(sketch, "node")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    compared = tiles.select("tile", "band", "side", "node", "label", "n", "registers").repartition(parts, "tile").sortWithinPartitions("tile").mapInArrow(_tile_test(percent), "tile long, node long")
+    compared = tiles.select("tile", "band", "side", "node", "label", "n", "registers").repartition(parts, "tile").sortWithinPartitions("tile").mapInArrow(lean(_tile_test(percent)), "tile long, node long")
     more = verified(compared)
     labelled = more
     for end in ("a", "b"):

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import LONG_WORD, documents, slices, written
+from .common import LONG_WORD, documents, lean, slices, written
 
 CAPACITY = 4096
 END_ID = 1
@@ -126,7 +126,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
                     rows.append((ident, k, a // 4, len(part) // 4, zlib.crc32(part), part)[: len(names)])
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * ids)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(cut), "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * ids)
 
 
 # --- the plan -----------------------------------------------------------------------------------------------------------
@@ -383,7 +383,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
             offset = table["offset"][at] + here % table["each"][at] * length
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sequence), pa.array(offset)], [*columns, "sequence_id", "offset"])
 
-    return ranked.select(*columns, F.col("rank").cast("long").alias("rank")).mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * ids + ", sequence_id long, offset long")
+    return ranked.select(*columns, F.col("rank").cast("long").alias("rank")).mapInArrow(lean(place), "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * ids + ", sequence_id long, offset long")
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, slices, spread, text_buffer, written
+from .common import documents, lean, slices, spread, text_buffer, written
 
 #: The rolling hash sees WINDOW bytes (a power of two). Places for cuts are the beginnings of words, of characters of three bytes or more, and,
 #: DEEP bytes after the last white space, where the hash is least among five. A cut is the least of SPAN places in a row, so that
@@ -31,6 +31,8 @@ RUN_WORDS = 20
 LETTERS = 20
 #: Texts are exchanged only if their document's hash is in a table of so many places.
 PLACES = 1 << 20
+#: Bytes of text that a worker cuts into chunks or holds against others at a time (one row may exceed it), and rows that it hands on at once.
+SLICE, ROWS = 1 << 19, 4096
 #: Documents without an id count as larger than all ids under this.
 NO_ID = 1 << 62
 
@@ -101,7 +103,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     before it (7 bits), in it (8), in REACH bytes after it (7), and in WINDOW bytes before and after (4 each).
     """
     digest = xxhash.xxh3_64_intdigest
-    for batch in slices(batches, "text", 2 << 20):
+    for batch in slices(batches, "text", SLICE):
         offsets, data = text_buffer(batch.column(2))
         rolling = _rolling(data)
         starts, ends = cuts(offsets, data, rolling)
@@ -195,12 +197,17 @@ def _runs(least: int):
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [part.split()[0] for part in _ASKED.split(", ")]
         kinds = [pa.int64() if part.endswith("long") else pa.int32() for part in _ASKED.split(", ")]
+        table = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
         for batch in batches:
             rows = []
-            for doc, row_key, chunks in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                rows += [(doc, row_key, *row) for row in matches(chunks, least)]
+            # One row's chunks at a time: those of a whole batch are hundreds of MB as Python's objects.
+            for doc, row_key, chunks in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                rows += [(doc, row_key, *row) for row in matches(chunks.as_py(), least)]
+                if len(rows) >= ROWS:
+                    yield table(rows)
+                    rows = []
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                yield table(rows)
 
     return runs
 
@@ -212,7 +219,7 @@ def _beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """An owner's text and the segments asked of it -> the bytes beside each segment there."""
     names = [part.split()[0] for part in _SPANS.split(", ")]
     kinds = [{"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[part.split()[1]] for part in _SPANS.split(", ")]
-    for batch in slices(batches, "text", 8 << 20):
+    for batch in slices(batches, "text", SLICE):
         offsets, data = text_buffer(batch.column(0))
         whole = memoryview(data.tobytes())
         rows = []
@@ -306,7 +313,7 @@ def _among(docs: DataFrame, ids: DataFrame, inside: bool = True) -> DataFrame:
                 rest = batch.select(list(range(batch.num_columns - 1)))
                 yield rest if wanted.all() else rest.filter(pa.array(wanted))
 
-    return docs.withColumn("_at", place("_doc")).mapInArrow(some, docs.schema)
+    return docs.withColumn("_at", place("_doc")).mapInArrow(lean(some), docs.schema)
 
 
 def dedup_substrings(docs: DataFrame, least: int = RUN_WORDS) -> DataFrame:
@@ -329,16 +336,16 @@ def dedup_substrings(docs: DataFrame, least: int = RUN_WORDS) -> DataFrame:
     repeated = texts.groupBy("_doc", "_key").agg(F.count("*").alias("n")).where("n > 1").select("_doc")
     if not repeated.isEmpty():
         texts = _among(texts, repeated, inside=False).unionAll(_among(texts, repeated).dropDuplicates(["_doc", "_key"]))
-    chunks = texts.select(F.col("_doc").alias("doc"), F.col("_key").alias("row_key"), "text").mapInArrow(_chunks, "digest long, doc long, row_key long, place long, length int, most int")
+    chunks = texts.select(F.col("_doc").alias("doc"), F.col("_key").alias("row_key"), "text").mapInArrow(lean(_chunks), "digest long, doc long, row_key long, place long, length int, most int")
     owned = chunks.groupBy("digest").agg(F.min("doc").alias("owner"), F.max("doc").alias("last"), F.min_by("place", "doc").alias("owner_place"), F.count("*").alias("n"))
     shared = written(owned.where("owner < last").select("digest", "owner", "owner_place", "n"), "shared")
     held = spread(chunks, shared.select("digest", "owner", "owner_place"), "digest", shared.select("digest", "n"), F.col("row_key")).where("doc > owner")
     # The chunks of one row: no more than its own.
     held = held.groupBy("doc", "row_key").agg(F.collect_list(F.struct("place", "length", "most", "digest", "owner", "owner_place")).alias("chunks"))
-    asked = written(held.mapInArrow(_runs(least), _ASKED), "asked")
+    asked = written(held.mapInArrow(lean(_runs(least)), _ASKED), "asked")
     owners = _among(texts, asked.select("owner")).select(F.col("_doc").alias("owner"), "text")
     beside = spread(asked, owners, "owner", asked.groupBy("owner").agg(F.count("*").alias("n")), F.col("row_key"))
-    beside = beside.select("text", *asked.columns).mapInArrow(_beside, _SPANS)
+    beside = beside.select("text", *asked.columns).mapInArrow(lean(_beside), _SPANS)
     spans = beside.groupBy("doc", "row_key").agg(F.collect_list(F.struct("start", "length", "owner", "place", "left", "right")).alias("_spans"))
     marked = _among(keyed, asked.select("doc")).join(spans, (F.col("_doc") == F.col("doc")) & (F.col("_key") == F.col("row_key")), "left").select(*docs.columns, "_spans")
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("length", T.LongType())])
@@ -346,7 +353,7 @@ def dedup_substrings(docs: DataFrame, least: int = RUN_WORDS) -> DataFrame:
     text_at, kind = docs.columns.index("text"), pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 8 << 20):
+        for batch in slices(batches, "text", SLICE):
             texts, gone = batch.column(text_at), [[]] * batch.num_rows
             held = batch.column(batch.num_columns - 1)
             some = [k for k, valid in enumerate(held.is_valid().to_pylist()) if valid]
@@ -360,7 +367,7 @@ def dedup_substrings(docs: DataFrame, least: int = RUN_WORDS) -> DataFrame:
 
     whole = _among(keyed, asked.select("doc"), inside=False).select(*docs.columns)
     none = F.array().cast(T.ArrayType(span))
-    return marked.mapInArrow(cut, schema).unionByName(whole.withColumn("removed_spans", none)).toDF(*names, "removed_spans")
+    return marked.mapInArrow(lean(cut), schema).unionByName(whole.withColumn("removed_spans", none)).toDF(*names, "removed_spans")
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
